@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, quality_rules
+from . import hilbert, lm_scoring, quality_rules
 from .common import table
 
 
@@ -16,5 +16,9 @@ def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines)}
-ORACLES = {"op1_hilbert_shards": hilbert.shard_sql(), "op3_quality_lines": quality_rules.clean_sql(report=True)}
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines, op8_stupid_backoff)}
+ORACLES = {"op1_hilbert_shards": hilbert.shard_sql(), "op3_quality_lines": quality_rules.clean_sql(report=True), "op8_stupid_backoff": lm_scoring.score_sql()}
