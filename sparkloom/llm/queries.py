@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, lm_scoring, minhash, quality_rules
+from . import hilbert, lm_scoring, minhash, quality_rules, substring
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents"), report=True)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines, op7_weighted_minhash, op8_stupid_backoff)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines, op4_repeated_passages, op7_weighted_minhash, op8_stupid_backoff)}
 ORACLES = {"op1_hilbert_shards": hilbert.shard_sql(), "op3_quality_lines": quality_rules.clean_sql(report=True), "op8_stupid_backoff": lm_scoring.score_sql()}
