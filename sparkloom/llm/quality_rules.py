@@ -18,8 +18,13 @@ the table has it).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .textops import buffers, slices, word_table, words
 
 DENSITY, SHORT, MANY, DISTINCT, KEEP = 0.12, 6, 20, 0.2, 0.5
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -28,34 +33,88 @@ SEPARATORS = "|•›»>"
 PHRASES = "(?i)(accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)|all rights reserved|sign (up|in) (now|for|to)|log in to|subscribe (now|to)|click here|skip to (main )?content|back to top|read more|share this|enable javascript|lorem ipsum)"
 
 
-def quote(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'")
-
-
-def line_passes(x):
-    """Whether a line (Column) passes every rule."""
-    t = F.trim(F.translate(x, "\t\r", "  "))
-    length = F.length(t)
-    words = F.filter(F.split(t, " "), lambda w: w != "")
-    n = F.size(words)
-    count = lambda marks: length - F.length(F.translate(t, marks, ""))
-    punctuation = (count(MARKS) - 2 > DENSITY * length) | ((F.instr(F.lit(ENDS), F.right(t, F.lit(1))) == 0) & (n < SHORT))
-    navigation = (count(SEPARATORS) >= 2) & (count(SEPARATORS) * 6 >= n)
-    repetition = (n >= MANY) & (F.size(F.array_distinct(words)) < DISTINCT * n)
-    boilerplate = (n <= 30) & t.rlike(PHRASES)
-    return (t == "") | ~(punctuation | navigation | repetition | boilerplate)
+TABLES = {"marks": np.isin(np.arange(256), [ord(c) for c in MARKS]), "separators": np.isin(np.arange(256), [ord(c) for c in SEPARATORS if ord(c) < 128]), "words": word_table()}
+TABLES["words"][[10, 11, 12]] = [10, 11, 12]
+
+
+def line_passes(lines: pa.Array) -> np.ndarray:
+    """Whether each line passes every rule."""
+    t = pc.utf8_trim(lines, " \t\r")
+    at, data = buffers(t)
+    if at[-1] == at[0]:
+        return np.ones(len(t), bool)
+    data, at = data[at[0] : at[-1]], at - at[0]
+
+    def count(hit: np.ndarray) -> np.ndarray:
+        total = np.empty(len(hit) + 1, np.int64)
+        total[0] = 0
+        np.cumsum(hit, out=total[1:])
+        return total[at[1:]] - total[at[:-1]]
+
+    length, marks, separators = count((data & 0xC0) != 0x80), count(TABLES["marks"][data]), TABLES["separators"][data]
+    for sign in SEPARATORS:
+        code = sign.encode()
+        if len(code) > 1 and len(data) >= len(code) and (data == code[0]).any():
+            hit = np.ones(len(data) - len(code) + 1, bool)
+            for i, b in enumerate(code):
+                hit &= data[i : i + len(hit)] == b
+            separators = separators.copy()
+            separators[: len(hit)] |= hit
+    separators = count(separators)
+    cache: dict = {}
+    n, different = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+    for lo, hi in slices(at):
+        row, h, _, _ = words(at, data, lo, hi, TABLES["words"], cache)
+        k = np.bincount(row, minlength=hi - lo)
+        n[lo:hi] = k
+        many = k[row] >= MANY
+        row, h = row[many], h[many]
+        if len(row):
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
+            different[lo:hi] = np.bincount(row[new], minlength=hi - lo)
+    ends = pc.is_in(pc.utf8_slice_codeunits(t, -1, None), pa.array(list(ENDS))).to_numpy(zero_copy_only=False)
+    boilerplate = np.zeros(len(t), bool)
+    brief = np.flatnonzero((n > 0) & (n <= 30))
+    if len(brief):
+        boilerplate[brief] = pc.match_substring_regex(t.take(pa.array(brief)), PHRASES).to_numpy(zero_copy_only=False)
+    bad = (marks - 2 > DENSITY * length) | (~ends & (n < SHORT)) | ((separators >= 2) & (separators * 6 >= n)) | ((n >= MANY) & (different < DISTINCT * n)) | boilerplate
+    return (length == 0) | ~bad
 
 
 def clean(docs: DataFrame, keep_share: float = KEEP, text: str = "text", report: bool = False) -> DataFrame:
     """Cleaned documents that stay. With report, also the columns lines and kept_lines.
 
-    No shuffle: one pass over the rows, inside the JVM.
+    One pass over Arrow batches without a shuffle. Rules run on byte arrays, all lines of a slice at a time.
     """
-    lines, kept, whole = "__lines", "__kept", "__whole"
-    df = docs.withColumn(lines, F.split(F.col(text), "\n")).withColumn(kept, F.filter(lines, line_passes)).withColumn(whole, F.array_join(kept, "\n"))
-    df = df.where((F.length(whole) >= keep_share * F.length(F.col(text))) & (F.trim(F.translate(whole, "\t\r\n", "   ")) != ""))
-    new = [F.col(whole).alias(text) if c == text else F.length(whole).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return df.select(*new, *([F.size(lines).alias("lines"), F.size(kept).alias("kept_lines")] if report else []))
+    columns = docs.columns
+    schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType, True) for f in docs.schema] + [T.StructField(c, T.IntegerType()) for c in ("lines", "kept_lines") if report])
+
+    def run(batches):
+        for batch in batches:
+            at, _ = buffers(batch.column(columns.index(text)))
+            for lo, hi in slices(at, 4 << 20):
+                yield one(batch.slice(lo, hi - lo))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole = batch.column(columns.index(text))
+        split = pc.split_pattern(pc.fill_null(whole, ""), "\n")
+        flat = pc.list_flatten(split)
+        lines = np.diff(np.asarray(split.offsets))
+        passes = line_passes(flat)
+        edge = np.concatenate(([0], np.cumsum(lines)))
+        total = np.concatenate(([0], np.cumsum(passes)))
+        kept = total[edge[1:]] - total[edge[:-1]]
+        cleaned = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32()), flat.filter(pa.array(passes))), "\n")
+        before, after = pc.utf8_length(pc.fill_null(whole, "")).to_numpy(), pc.utf8_length(cleaned).to_numpy()
+        blank = pc.utf8_length(pc.utf8_trim(cleaned, " \t\r\n")).to_numpy() == 0
+        stays = pa.array((after >= keep_share * before) & ~blank)
+        new = [cleaned if c == text else pa.array(after, pa.int64()) if c == "n_chars" else x for c, x in zip(columns, batch.columns)]
+        new += [pa.array(lines, pa.int32()), pa.array(kept, pa.int32())] if report else []
+        return pa.RecordBatch.from_arrays(new, schema.names).filter(stays)
+
+    return docs.mapInArrow(run, schema)
 
 
 def clean_sql(source: str = "documents", keep_share: float = KEEP, report: bool = False) -> str:
