@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hilbert, lm_scoring, minhash, quality_rules, substring
+from . import hilbert, licenses, lm_scoring, minhash, mixing, packing, quality_rules, substring
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,14 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines, op4_repeated_passages, op7_weighted_minhash, op8_stupid_backoff)}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.selected(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "source", "lang", F.col("__words").alias("n_words"), F.col("__pattern").alias("pattern"), F.col("__copies").alias("copies"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_quality_lines, op4_repeated_passages, op5_best_fit_packing, op7_weighted_minhash, op8_stupid_backoff, op9_source_mixing, op10_license_scan)}
 ORACLES = {"op1_hilbert_shards": hilbert.shard_sql(), "op3_quality_lines": quality_rules.clean_sql(report=True), "op8_stupid_backoff": lm_scoring.score_sql()}
