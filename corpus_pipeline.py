@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import quality_rules
+from sparkloom.llm import minhash, mixing, packing, quality_rules, substring
 from sparkloom.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cleans lines; documents that lose too much go."""
+    """Cleans lines; documents that lose too much text go."""
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each group of near duplicates."""
+    return minhash.deduplicate(docs)
 
-#: MinHash, anchors and the packing's tree can't be put into SQL; tests/llm hold the stages against brute force.
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of passages of 50 words or more."""
+    return substring.remove(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Selects and repeats documents to meet the sources' target weights."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences: bin_id, doc_id, start_word, n_words, bin_offset."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
+
+#: MinHash, the flow and the packing's tree can't be put into SQL; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -6,9 +6,9 @@ list-decoded to every filter whose direction its inner product exceeds: code wor
 sums that can't reach the bound are pruned. Vectors that share a filter are candidates and are verified exactly.
 
 The bound and the size of the code follow from the number of vectors, the threshold and the wanted recall: about
-as many filters as vectors, so a filter holds some tens of unrelated vectors at any size, and as many caps a vector that a
-pair at the threshold shares one with the wanted probability (estimated on simulated pairs). Pairs above the
-threshold are more likely found than that. Equal vectors are joined exactly: one of each goes through the filters.
+WIDTH ** BLOCKS times as many filters as vectors, so a filter holds some unrelated vectors at any size, and the highest bound at
+which simulated pairs at the threshold share a filter with the wanted probability. Pairs above the threshold are more likely
+found than that. Vectors go to their filters rounded to bytes; pairs near by these are verified on the vectors themselves. Equal vectors are joined exactly: one of each goes through the filters.
 
 Defined results: null, empty, zero and non-finite vectors and null ids are in no pair, nor are vectors whose length isn't the
 most frequent one; repeated rows of one id count once; equal vectors of different ids are pairs of similarity 1; an empty
@@ -24,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import buckets, written
 
 THRESHOLD = 0.9
 RECALL = 0.98
-BLOCKS = 3
+BLOCKS = 2
+#: Code words of a part, as a multiple of the BLOCKS-th root of the number of vectors.
+WIDTH = 4
+#: What rounding to bytes may take from a cosine.
+MARGIN = 0.03
 
 
 def plan(n: int, dim: int, threshold: float, recall: float, blocks: int, seed: int) -> dict:
@@ -37,29 +41,29 @@ def plan(n: int, dim: int, threshold: float, recall: float, blocks: int, seed: i
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     parts = np.array_split(np.arange(dim), blocks)
-    side = max(8, math.ceil(max(n, 1) ** (1 / blocks)))
+    side = max(8, math.ceil(WIDTH * max(n, 1) ** (1 / blocks)))
     code = []
     for p in parts:
         c = rng.standard_normal((side, len(p)))
         code.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt(len(p) / dim))
-    # Pairs at the threshold, each with its scores against a sample of filters: how many caps make sure of a shared one.
-    m, f = 400, 20000
+    p = {"rotation": rotation.astype(np.float32), "parts": parts, "code": [c.astype(np.float32) for c in code], "side": side}
+    # The highest bound at which the wanted share of simulated pairs, just at the threshold, have a filter in common.
+    m = 500
     a = rng.standard_normal((m, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.standard_normal((m, dim))
     b -= (a * b).sum(1, keepdims=True) * a
-    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    pick = rng.integers(0, side, (f, blocks))
-    filters = np.concatenate([c[pick[:, i]] for i, c in enumerate(code)], axis=1)
-    order = np.concatenate(parts)
-    x, y = (a @ rotation)[:, order] @ filters.T, (b @ rotation)[:, order] @ filters.T
-    low = np.sort(np.minimum(x, y), axis=1)[:, ::-1]
-    # A pair shares a filter above the bound if its best common score among all filters does; scale the sample to the whole code.
-    total = side**blocks
-    rank = min(f, max(1, round(f / total)))
-    best = low[:, rank - 1] if total <= f else low[:, 0] + (np.log(total / f) / np.maximum(dim * low[:, 0], 1))
-    # The margin covers what the sample of filters can't show.
-    return {"rotation": rotation.astype(np.float32), "parts": parts, "code": [c.astype(np.float32) for c in code], "side": side, "bound": float(np.quantile(best, 1 - recall)) - 0.02}
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
+    low, high = 1.5 / math.sqrt(dim), 1.0
+    for _ in range(10):
+        p["bound"] = (low + high) / 2
+        (i, x), (j, y) = decode(a.astype(np.float32), p), decode(b.astype(np.float32), p)
+        common = np.intersect1d(i * side**blocks + x, j * side**blocks + y) // side**blocks
+        if len(np.unique(common)) >= recall * m:
+            low = p["bound"]
+        else:
+            high = p["bound"]
+    return p | {"bound": low}
 
 
 def decode(v: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -101,27 +105,58 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                 v = np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), -1).astype(np.float64)
                 v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
                 rows, key = decode(v, p)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * v.shape[1], pa.int32()), pa.array(v[rows].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), values, pa.array(key)], ["id", "v", "filter"])
-
-    def verify(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        v = np.asarray(t.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)[order]
-        out = []
-        for lo in range(0, len(ids), 1024):
-            s = v[lo : lo + 1024] @ v[lo:].T
-            i, j = np.nonzero(s >= threshold - 1e-5)
-            i, j = i[i < j], j[i < j]
-            exact = np.einsum("ij,ij->i", v[lo + i].astype(np.float64), v[lo + j].astype(np.float64))
-            ok = exact >= threshold
-            out.append((ids[lo + i[ok]], ids[lo + j[ok]], exact[ok]))
-        a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"id_a": a, "id_b": b, "cosine": np.minimum(c, 1.0)})
+                q = np.round(v * (127 / np.abs(v).max(1, keepdims=True))).astype(np.int8)
+                code = pa.array([x.tobytes() for x in q], pa.binary())
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), code.take(at), pa.array(key)], ["id", "q", "filter"])
+
+    def share(t: pa.Table) -> pa.Table:
+        """Pairs that share a filter and are near by their rounded vectors."""
+        ids, key = t.column("id").to_numpy(), t.column("filter").to_numpy()
+        order = np.lexsort((ids, key))
+        ids, key = ids[order], key[order]
+        v = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(ids), -1)[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        found = []
+
+        def near(i: np.ndarray, j: np.ndarray) -> None:
+            for lo in range(0, len(i), 1 << 16):
+                a, b = v[i[lo : lo + (1 << 16)]].astype(np.float32), v[j[lo : lo + (1 << 16)]].astype(np.float32)
+                c = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+                ok = np.flatnonzero(c >= threshold - MARGIN) + lo
+                found.append(np.stack([ids[i[ok]], ids[j[ok]]], 1))
+
+        small = size <= 64
+        left = np.repeat(first + size, size) - np.arange(len(key)) - 1  # entries after each in its filter
+        left[np.repeat(~small, size)] = 0
+        for lo in range(0, len(key), 1 << 15):  # pairs of some entries at a time
+            n = left[lo : lo + (1 << 15)]
+            i = np.repeat(np.arange(lo, lo + len(n)), n)
+            near(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        for start, n in zip(first[~small].tolist(), size[~small].tolist()):
+            u = v[start : start + n].astype(np.float32)
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            for lo in range(0, n, 512):
+                i, j = np.nonzero(u[lo : lo + 512] @ u[lo:].T >= threshold - MARGIN)
+                ok = i < j
+                found.append(np.stack([ids[start + lo + i[ok]], ids[start + lo + j[ok]]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
+
+    def verify(batches):
+        for batch in batches:
+            a, b = (np.asarray(batch.column(i).flatten(), np.float64).reshape(len(batch), -1) for i in (2, 3))
+            c = np.einsum("ij,ij->i", a, b) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-300) if len(batch) else np.zeros(0)
+            ok = pa.array(c >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.minimum(c, 1.0))], ["id_a", "id_b", "cosine"]).filter(ok)
 
+    groups = buckets(vectors.sparkSession, 8)
     first = one.select(F.col("ids")[0].alias("id"), "v")
-    found = first.mapInArrow(list_decode, "id bigint, v array<float>, filter bigint").groupBy("filter").applyInArrow(verify, result).dropDuplicates(["id_a", "id_b"])
+    capped = first.mapInArrow(list_decode, "id bigint, q binary, filter bigint").withColumn("group", F.pmod(F.xxhash64("filter"), F.lit(groups)))
+    near = written(capped.groupBy("group").applyInArrow(share, "id_a bigint, id_b bigint").distinct(), "near")
+    exact = near.join(first.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(first.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
+    found = exact.select("id_a", "id_b", "va", "vb").mapInArrow(verify, result)
     # Back from one vector of each set of equal ones to all of their ids.
     sets = one.select(F.col("ids")[0].alias("k"), "ids")
     many = sets.where(F.size("ids") > 1)
