@@ -56,7 +56,7 @@ def levels(column):
 
 def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score (rounded to 4 decimals) of every row."""
-    chunks = buckets(docs.sparkSession)
+    chunks = buckets(docs.sparkSession, 2)
 
     def use(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         rows = t.num_rows

@@ -152,7 +152,7 @@ def verify(pairs: DataFrame, base: DataFrame, answers: DataFrame, threshold: flo
 
 def edges(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, similarity), a > b, that connect all groups; and (node, root) of the documents in groups."""
-    chunks = buckets(docs.sparkSession)
+    chunks = buckets(docs.sparkSession, 2)
     base = chunked(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), chunks)
     answers = written(ask(base, levels, chunks), "answers")
 
