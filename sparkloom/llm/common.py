@@ -13,8 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
-
 def written_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -36,9 +34,14 @@ def buckets(spark: SparkSession, each: int = 1) -> int:
     return max(1, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-
-
-
 def word_count(text: Column) -> Column:
     """Number of words: runs without ASCII white space. Null has none."""
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\x0b\\f]+")).cast("long"), F.lit(0).cast("long"))
+
+
+def shielded(docs: DataFrame, run) -> DataFrame:
+    """run(docs), where columns that begin with two underscores, as run's own do, have other names meanwhile."""
+    names = {c: f"__shielded_{i}" if c.startswith("__") else c for i, c in enumerate(docs.columns)}
+    back = {n: c for c, n in names.items()}
+    out = run(docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()]))
+    return out.select(*[out[f"`{c}`"].alias(back.get(c, c)) for c in out.columns])

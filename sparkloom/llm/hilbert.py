@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shielded
+
 BITS = 4
 DIMS = ["__x0", "__x1", "__x2", "__x3"]
 TARGET = 8_000_000
@@ -72,6 +74,10 @@ def shares(docs: DataFrame, column: str, out: str) -> DataFrame:
 
 def shard(docs: DataFrame, target_chars: int = TARGET) -> DataFrame:
     """Documents with hilbert and shard_id, each shard in one partition and sorted by the curve."""
+    return shielded(docs, lambda d: placed(d, target_chars))
+
+
+def placed(docs: DataFrame, target_chars: int) -> DataFrame:
     ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, span = (ids["lo"] or 0), (ids["hi"] or 0) - (ids["lo"] or 0) + 1
     size = F.coalesce(F.col("n_chars"), F.length("text"), F.lit(0)).cast("long")

@@ -78,7 +78,7 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             s = np.log(np.maximum(one, 1) / others) + np.log(alpha) * np.minimum(place_in_row, 2)
             s = np.where((place_in_row >= 1) & (two > 0), np.log(two / before(one)) + np.log(alpha) * (place_in_row > 1), s)
             s = np.where((place_in_row >= 2) & (three > 0), np.log(three / before(two)), s)
-        sums = np.bincount(row, s, rows)
+        sums = np.bincount(row, s, rows).astype(np.float64)  # without words it counts in integers
         mean = np.round(sums / np.maximum(n, 1), 4)
         return pa.table({"doc_id": t.column("doc_id").cast(pa.int64()), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(np.round(sums, 4)), "mean_log_score": pa.array(mean, mask=n == 0)})
 

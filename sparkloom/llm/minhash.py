@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, written
+from .common import buckets, shielded, written
 from .counts import BITS, ask, chunked, distinct, unpack_answers
 from .graphs import components
 from .textops import U, buffers, folded_table, mix, pack_sorted, slices, unpack_sorted, words
@@ -192,4 +192,5 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents without those that groups() lists."""
-    return docs.join(groups(docs, threshold).select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = groups(docs, threshold).select(F.col("doc_id").alias("__gone"))
+    return shielded(docs, lambda d: d.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"))

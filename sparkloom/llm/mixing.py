@@ -11,8 +11,8 @@ The order's cut is found in two steps: words are summed by pattern and the upper
 documents of the one bucket in which the cut falls are sorted.
 
 Defined results: null or empty text has 0 words and is selected with its pattern's whole copies only; a null source or lang meets
-no predicate on it; null doc_id hashes like any value; repeated rows are selected each by itself, ties in the order by n_words; documents in no
-source are left out; an empty table gives an empty one; extra columns pass through mixed().
+no predicate on it; null doc_id hashes like any value; rows of one doc_id come in order of their words, and those that tie in this too are taken together or not at all; documents in no
+source are left out; an empty table gives an empty one; extra columns pass through mixed(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import word_count, written
+from .common import shielded, word_count, written
 
 EPOCHS = 4
 #: Sources as predicates over documents (with their n_words), and their target weights.
@@ -110,11 +110,11 @@ def selected(docs: DataFrame, sources: dict[str, str] | None = None, weights: di
     some = literal({p: int(r > 0) for p, r in rest.items()}, "int")
     base = literal({p: int(c) for p, c in copies.items()}, "int")
     clear = known.where(F.col("__bucket") != at).withColumn("__copies", base + F.when(F.col("__bucket") < at, some).otherwise(0))
-    line = Window.partitionBy("__pattern").orderBy("__order", "doc_id", "__words").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("__pattern").orderBy("__order", "doc_id", "__words").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = known.where(F.col("__bucket") == at).withColumn("__copies", base + F.when(F.sum("__words").over(line) <= literal({p: c[1] for p, c in cut.items()}, "long"), some).otherwise(0))
     return clear.unionByName(edge).where("__copies > 0").drop("__order", "__bucket")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The selected documents, each as often as it is used, with the columns of docs."""
-    return selected(docs, **options).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return shielded(docs, lambda d: selected(d, **options).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in d.columns]))

@@ -13,7 +13,7 @@ A document goes if its kept lines, joined, have under keep_share of its characte
 Defined results: null or empty text is rejected; null in other columns passes through; repeated rows
 are each judged and kept; very long texts are split like any; an empty table gives an empty one; extra
 columns pass through, whatever their names, as only text and n_chars are replaced (n_chars only where
-the table has it).
+the table has it); with report, lines and kept_lines replace columns of these names.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ def clean(docs: DataFrame, keep_share: float = KEEP, text: str = "text", report:
 
     One pass over Arrow batches without a shuffle. Rules run on byte arrays, all lines of a slice at a time.
     """
+    docs = docs.drop("lines", "kept_lines") if report else docs
     columns = docs.columns
     schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType, True) for f in docs.schema] + [T.StructField(c, T.IntegerType()) for c in ("lines", "kept_lines") if report])
 

@@ -5,7 +5,9 @@ rolling window of BLOCK words probes the index. A repeat of MIN_WORDS >= 2 * BLO
 of the later document, so each such repeat has an anchor. A block that occurs before (in order of doc_id and
 position, at any offset) is paired with the first occurrence and with the one just before it; runs of anchors on
 one diagonal are then extended word by word to the left and right, up to REACH words beyond the outermost anchors,
-and merged. Later copies are reported, the first occurrence never, so one copy of each passage stays.
+and merged. Later copies are reported, the first occurrence never, so one copy of each passage stays. A repeat is
+maximal as to these two occurrences: where yet another earlier document goes on further with the text, as by a chance
+word at an edge, those words are not reported, so that a passage of thousands of copies costs two anchors a block.
 
 Windows travel packed: sorted hashes as differences in byte planes, with doc_id and position, some 9 bytes each.
 The text is shuffled by doc_id, to extend and to cut; only documents with anchors reach Python for that.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets, written
+from .common import buckets, shielded, written
 from .textops import U, buffers, mix, pack_sorted, planes, rolling, slices, unpack_sorted, unplanes, word_table, words
 
 BLOCK = 25
@@ -240,6 +242,10 @@ def without(text: bytes, start: np.ndarray, spans: list[tuple]) -> bytes:
 
 def remove(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
     """Documents without their later copies of passages; the columns stay, n_chars is counted anew."""
+    return shielded(docs, lambda d: cut(d, block, min_words, reach))
+
+
+def cut(docs: DataFrame, block: int, min_words: int, reach: int) -> DataFrame:
     columns = docs.columns
     schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType, True) for f in docs.schema])
     at = columns.index("text")
