@@ -92,3 +92,51 @@ def tokens(text: Column) -> Column:
 def js_round(x: Column) -> Column:
     """Halves go up, also below zero."""
     return F.floor(x + F.lit(0.5))
+
+
+def host(url: Column) -> Column:
+    return F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]+)", 1)
+
+
+# The same functions as DuckDB SQL, over SQL expressions.
+
+
+def host_sql(x: str) -> str:
+    return f"regexp_extract({x}, '^[a-zA-Z]+://([^/?#]+)', 1)"
+
+
+def file_name_sql(x: str) -> str:
+    return f"lower(regexp_extract({x}, '([^/]*)$', 1))"
+
+
+def extension_sql(x: str) -> str:
+    return f"lower(regexp_extract({x}, '\\.([A-Za-z0-9]+)$', 1))"
+
+
+def directory_sql(x: str) -> str:
+    return f"coalesce(nullif(regexp_extract({x}, '^(.*)/[^/]*$', 1), ''), '.')"
+
+
+def language_sql(ext: str) -> str:
+    return f"CASE {ext} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " ELSE 'Text' END"
+
+
+def category_sql(path: str, name: str, ext: str) -> str:
+    return rf"""CASE WHEN regexp_matches({name}, '^\.env|secret|credential|\.pem$|\.key$') THEN 'protected'
+      WHEN {name} IN ('package.json', 'pom.xml', 'go.mod', 'cargo.toml', 'build.gradle', 'pyproject.toml', 'requirements.txt', 'gemfile', 'composer.json') OR {ext} = 'csproj' THEN 'manifest'
+      WHEN {ext} IN ('png', 'jpg', 'svg', 'woff', 'ico') THEN 'resource' WHEN {ext} IN ('md', 'txt', 'rst') OR regexp_matches(lower({path}), '(^|/)docs?/') THEN 'docs'
+      WHEN regexp_matches({name}, 'config|rc$') OR {ext} IN ('yml', 'yaml', 'toml', 'ini') THEN 'config' WHEN regexp_matches(lower({path}), '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.') THEN 'test'
+      WHEN {ext} IN ('json', 'csv', 'sql') THEN 'data' WHEN {ext} IN ('sh', 'ps1', 'bat') THEN 'script' WHEN {ext} IN ('html', 'css', 'vue') THEN 'markup' ELSE 'source' END"""
+
+
+def normal_path_sql(x: str) -> str:
+    p = f"regexp_replace(trim({x}), '\\\\', '/', 'g')"
+    p = f"regexp_replace(regexp_replace({p}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '')"
+    p = f"regexp_replace(regexp_replace(regexp_replace({p}, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '^/|/$', '', 'g')"
+    for _ in range(3):
+        p = f"regexp_replace({p}, '(^|/)[^/.][^/]*/\\.\\.(/|$)', '\\1', 'g')"
+    return f"coalesce(nullif(regexp_replace({p}, '/$', ''), ''), '.')"
+
+
+def redacted_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '(?i)((secret|passwd|password|token|api[_-]?key)\s*[:=]\s*)\S+', '\1[redacted]', 'g')"
