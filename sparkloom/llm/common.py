@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,15 @@ def shielded(docs: DataFrame, run) -> DataFrame:
     back = {n: c for c, n in names.items()}
     out = run(docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()]))
     return out.select(*[out[f"`{c}`"].alias(back.get(c, c)) for c in out.columns])
+
+
+@contextmanager
+def shuffle_files_go(spark: SparkSession):
+    """What runs inside drops its shuffle files when it ends, so steps that are written don't add up on disk."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, was)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, shielded, written
+from .common import buckets, shielded, shuffle_files_go, written
 from .counts import BITS, ask, chunked, distinct, unpack_answers
 from .graphs import components
 from .textops import U, buffers, folded_table, mix, pack_sorted, slices, unpack_sorted, words
@@ -152,6 +152,11 @@ def verify(pairs: DataFrame, base: DataFrame, answers: DataFrame, threshold: flo
 
 def edges(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, similarity), a > b, that connect all groups; and (node, root) of the documents in groups."""
+    with shuffle_files_go(docs.sparkSession):
+        return connected(docs, threshold)
+
+
+def connected(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     chunks = buckets(docs.sparkSession, 2)
     base = chunked(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), chunks)
     answers = written(ask(base, levels, chunks), "answers")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets, shielded, written
+from .common import buckets, shielded, shuffle_files_go, written
 from .textops import U, buffers, mix, pack_sorted, planes, rolling, slices, unpack_sorted, unplanes, word_table, words
 
 BLOCK = 25
@@ -194,14 +194,9 @@ def prepared(docs: DataFrame, block: int, min_words: int, reach: int) -> DataFra
         raise ValueError("a repeat of min_words has to hold a whole block")
     spark = docs.sparkSession
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
+    with shuffle_files_go(spark):
         hits = written(anchors(windows(real, buckets(spark), block), block), "anchors")
         runs = written(strips(hits, real, block, reach), "runs")
-    finally:
-        spark.conf.set(setting, was)
     return runs.groupBy("doc").agg(F.collect_list(F.struct("ref", "pos", "last", "ref_pos", "body", "before", "after")).alias("__runs")).select(F.col("doc").alias("__doc"), "__runs")
 
 
