@@ -1,19 +1,18 @@
-"""Exact repeated passages, found with fixed-block anchors.
+"""Exact repeated passages, found by the hashes of all windows.
 
-Every document is cut into non-overlapping reference blocks of BLOCK words, which are indexed by hash; every
-rolling window of BLOCK words probes the index. A repeat of MIN_WORDS >= 2 * BLOCK - 1 words holds a whole block
-of the later document, so each such repeat has an anchor. A block that occurs before (in order of doc_id and
-position, at any offset) is paired with the first occurrence and with the one just before it; runs of anchors on
-one diagonal are then extended word by word to the left and right, up to REACH words beyond the outermost anchors,
-and merged. Later copies are reported, the first occurrence never, so one copy of each passage stays. A repeat is
-maximal as to these two occurrences: where yet another earlier document goes on further with the text, as by a chance
-word at an edge, those words are not reported, so that a passage of thousands of copies costs two anchors a block.
+Every rolling window of MIN_WORDS words is hashed. A window that occurs before (in order of doc_id and position, at any
+offset) is repeated, and the repeated words of a document are those of its repeated windows: no partner is left out,
+since one earlier occurrence is all that a window needs. Its reference is the occurrence just before it where that is in
+the same document (so text that goes round and round lies on one diagonal), else the first. Each diagonal is then
+compared with the reference's words over the whole stretch of repeated windows around it, which a repeat cannot
+outreach, so what is reported is maximal as to its reference. The first occurrence is never reported, so one copy of
+each passage stays, and a window costs one row at most, whatever the number of its copies.
 
-Windows travel packed: sorted hashes as differences in byte planes, with doc_id and position, some 9 bytes each.
-The text is shuffled by doc_id, to extend and to cut; only documents with anchors reach Python for that.
+Windows travel packed: sorted hashes as differences in byte planes, with doc_id and position, some 10 bytes each;
+repeated windows likewise. The text is shuffled by doc_id, to compare and to cut.
 
 Defined results: null doc_id or null text takes no part and passes through; texts under MIN_WORDS words have no
-repeats; rows of one doc_id count as one document, whose anchors are checked against each row's own text; repeats
+repeats; rows of one doc_id count as one document, whose windows are checked against each row's own text; repeats
 within a document count; ties go to the lower position; very long texts are used whole; an empty table gives an
 empty result; extra columns pass through remove(). A document of which nothing is left is dropped by remove().
 """
@@ -29,16 +28,16 @@ from pyspark.sql import types as T
 from .common import buckets, shielded, shuffle_files_go, written
 from .textops import U, buffers, mix, pack_sorted, planes, rolling, slices, unpack_sorted, unplanes, word_table, words
 
-BLOCK = 25
 MIN_WORDS = 50
-REACH = 50
-#: Bits of a window's hash; what collides is found out when anchors are extended.
-BITS = 44
+#: Bits of a window's hash. What collides is found out when words are compared; a window is lost only where the one it collides with comes first.
+BITS = 52
 #: Windows that a task sorts at a time.
 CHUNK = 1 << 21
+#: Bytes of reference words in a batch.
+BATCH = 1 << 23
 
 
-def windows(docs: DataFrame, parts: int, block: int) -> DataFrame:
+def windows(docs: DataFrame, parts: int, width: int) -> DataFrame:
     """Packets of (hash, doc_id, position) of every window, one for each bucket of hashes and chunk of a task."""
     edges = (np.arange(1, parts, dtype=U) << U(BITS)) // U(parts)
 
@@ -62,7 +61,7 @@ def windows(docs: DataFrame, parts: int, block: int) -> DataFrame:
             ids = batch.column(0).cast(pa.int64()).to_numpy()
             for lo, hi in slices(at):
                 row, h, _, _ = words(at, data, lo, hi, table, cache)
-                start, key = rolling(h, row, block, cache)
+                start, key = rolling(h, row, width, cache)
                 if not len(start):
                     continue
                 first = np.searchsorted(row, np.arange(hi - lo))
@@ -75,8 +74,9 @@ def windows(docs: DataFrame, parts: int, block: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, n int, k binary, d binary, p binary")
 
 
-def anchors(packets: DataFrame, block: int) -> DataFrame:
-    """(doc, pos, ref, ref_pos): each block with the first and the last of the windows before it that have its hash."""
+def repeated(packets: DataFrame, parts: int) -> DataFrame:
+    """Packets of (doc, pos, ref, ref_pos) of each window that occurs before, one for each part of the documents."""
+    names = ["d", "p", "r", "q"]
 
     def run(t: pa.Table) -> pa.Table:
         n = t.column("n").to_pylist()
@@ -90,19 +90,44 @@ def anchors(packets: DataFrame, block: int) -> DataFrame:
         doc, pos = read("d", unplanes)[order].view(np.int64), read("p", unplanes)[order].astype(np.int64)
         order = np.lexsort((pos, doc, key))
         key, doc, pos = key[order], doc[order], pos[order]
+        own: list[int] = []
         if len(key):
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))
             key, doc, pos = key[new], doc[new], pos[new]
             head = np.concatenate(([True], key[1:] != key[:-1]))
             first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            x = np.flatnonzero((pos % block == 0) & ~head)
-            near = x[(x - 1) != first[x]]
-            i, j = np.concatenate((x, near)), np.concatenate((first[x], near - 1))
-        else:
-            i = j = np.zeros(0, np.int64)
-        return pa.table({"doc": doc[i], "pos": pos[i], "ref": doc[j], "ref_pos": pos[j]})
+            i = np.flatnonzero(~head)
+            j = np.where(doc[i - 1] == doc[i], i - 1, first[i])
+            part = (mix(doc[i].view(U)) % U(parts)).astype(np.int64)
+            order = np.lexsort((pos[i], doc[i], part))
+            i, j, part = i[order], j[order], part[order]
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            own = np.flatnonzero(np.diff(cut)).tolist()
+        make = lambda x: pa.array([planes(x[cut[b] : cut[b + 1]].view(U)) for b in own], pa.binary())
+        columns = [make(x) for x in (doc[i], pos[i], doc[j], pos[j])] if own else [pa.array([], pa.binary())] * 4
+        return pa.table([pa.array(own, pa.int32()), pa.array([int(cut[b + 1] - cut[b]) for b in own], pa.int32()), *columns], ["part", "n", *names])
 
-    return packets.groupBy("bucket").applyInArrow(run, "doc bigint, pos bigint, ref bigint, ref_pos bigint")
+    return packets.groupBy("bucket").applyInArrow(run, "part int, n int, d binary, p binary, r binary, q binary")
+
+
+def diagonals(packets: DataFrame, width: int) -> DataFrame:
+    """(doc, ref, shift, lo, hi): the diagonals (position less the reference's) in each stretch of repeated windows, words lo to hi of doc."""
+
+    def run(t: pa.Table) -> pa.Table:
+        n = t.column("n").to_pylist()
+        doc, pos, ref, ref_pos = (np.concatenate([unplanes(b, m) for b, m in zip(t.column(c).to_pylist(), n)]).view(np.int64) for c in ("d", "p", "r", "q"))
+        order = np.lexsort((pos, doc))
+        doc, pos, ref, ref_pos = doc[order], pos[order], ref[order], ref_pos[order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > width))))
+        size = np.diff(np.append(new, len(doc)))
+        lo, hi = np.repeat(pos[new], size), np.repeat(pos[new + size - 1] + width, size)
+        shift = pos - ref_pos
+        order = np.lexsort((shift, ref, lo, doc))
+        doc, ref, shift, lo, hi = (x[order] for x in (doc, ref, shift, lo, hi))
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1])))
+        return pa.table({"doc": doc[new], "ref": ref[new], "shift": shift[new], "lo": lo[new], "hi": hi[new]})
+
+    return packets.groupBy("part").applyInArrow(run, "doc bigint, ref bigint, shift bigint, lo bigint, hi bigint")
 
 
 def word_hashes(text: pa.Array, i: int, table: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +137,6 @@ def word_hashes(text: pa.Array, i: int, table: np.ndarray, cache: dict) -> tuple
     return (h >> U(32)).astype(np.uint32), start - at[0]
 
 
-def body(h: np.ndarray) -> int:
-    """A hash of a run of words."""
-    weight = (np.arange(len(h), dtype=U) * U(2) + U(0x9E3779B97F4A7C15)) * U(0xBF58476D1CE4E5B9) | U(1)
-    return int(mix(np.array([(h.astype(U) * weight).sum()], U)).view(np.int64)[0])
-
-
 def lists(column) -> tuple[np.ndarray, list[np.ndarray]]:
     """Offsets and the flat fields of a column of lists of structs."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,77 +146,70 @@ def lists(column) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(([0], np.cumsum(size))), flat.flatten()
 
 
-def strips(hits: DataFrame, docs: DataFrame, block: int, reach: int) -> DataFrame:
-    """Runs of anchors on one diagonal, with the reference's words beside them."""
-    names = ["doc", "ref", "pos", "last", "ref_pos", "body", "before", "after"]
+def strips(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """The reference's words beside the diagonals: each stretch of them once, with its diagonals."""
+    names = ["doc", "ref", "at", "words", "shift", "lo", "hi"]
+    kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 3
 
     def run(batches):
         table, cache = word_table(), {}
+        make = lambda out: pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
         for batch in batches:
-            edge, (doc, pos, ref_pos) = lists(batch.column(2))
-            doc, pos, ref_pos = (x.to_numpy() for x in (doc, pos, ref_pos))
-            out: list[list] = [[] for _ in names]
-            refs = batch.column(0).to_pylist()
-            for i, ref in enumerate(refs):
+            edge, fields = lists(batch.column(2))
+            doc, shift, lo, hi = (x.to_numpy() for x in fields)
+            out, held = [], 0
+            for i, ref in enumerate(batch.column(0).to_pylist()):
                 h, _ = word_hashes(batch.column(1), i, table, cache)
                 s = slice(edge[i], edge[i + 1])
-                d, p, q = doc[s], pos[s], ref_pos[s]
-                order = np.lexsort((p, p - q, d))
-                d, p, q = d[order], p[order], q[order]
-                cut = np.flatnonzero((d[1:] != d[:-1]) | ((p - q)[1:] != (p - q)[:-1]) | (p[1:] - p[:-1] > block)) + 1
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(d)]):
-                    x, y = int(q[a]), int(q[b - 1]) + block
-                    if y <= len(h):
-                        row = (int(d[a]), ref, int(p[a]), int(p[b - 1]) + block, x, body(h[x:y]), h[max(0, x - reach) : x].tobytes(), h[y : y + reach].tobytes())
-                        for c, v in zip(out, row):
-                            c.append(v)
-            kinds = [pa.int64()] * 6 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+                d, g, x, y = doc[s], shift[s], lo[s], hi[s]
+                start, end = np.maximum(x - g, 0), np.minimum(y - g, len(h))
+                order = np.lexsort((start, d))
+                d, g, x, y, start, end = (v[order] for v in (d, g, x, y, start, end))
+                a = 0
+                while a < len(d):
+                    b, top = a + 1, int(end[a])
+                    while b < len(d) and d[b] == d[a] and start[b] <= top:
+                        top, b = max(top, int(end[b])), b + 1
+                    part = h[start[a] : top].tobytes()
+                    out.append((int(d[a]), ref, int(start[a]), part, g[a:b], x[a:b], y[a:b]))
+                    a, held = b, held + len(part)
+                    if held >= BATCH:
+                        yield make(out)
+                        out, held = [], 0
+            yield make(out)
 
     # A reference that thousands of documents repeat is split over salts, so no list holds all of them.
-    asked = hits.groupBy("ref", F.pmod(F.xxhash64("doc"), F.lit(16)).alias("salt")).agg(F.collect_list(F.struct("doc", "pos", "ref_pos")).alias("hits")).select(F.col("ref").alias("doc_id"), "hits")
+    asked = hits.groupBy("ref", F.pmod(F.xxhash64("doc"), F.lit(16)).alias("salt")).agg(F.collect_list(F.struct("doc", "shift", "lo", "hi")).alias("hits")).select(F.col("ref").alias("doc_id"), "hits")
     both = docs.select("doc_id", "text").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hits")
-    return both.mapInArrow(run, "doc bigint, ref bigint, pos bigint, last bigint, ref_pos bigint, body bigint, before binary, after binary")
+    return both.mapInArrow(run, "doc bigint, ref bigint, at bigint, words binary, shift array<bigint>, lo array<bigint>, hi array<bigint>")
 
 
 def extended(h: np.ndarray, runs: list[tuple], min_words: int) -> list[tuple[int, int, int, int]]:
     """Maximal repeats (start, end, ref, ref start) of a document's words h, of min_words at least."""
-    found: dict = {}
-    for ref, pos, last, ref_pos, code, before, after in runs:
-        if last > len(h) or body(h[pos:last]) != code:
-            continue
-        left, right = np.frombuffer(before, np.uint32)[::-1], np.frombuffer(after, np.uint32)
-        own = h[max(0, pos - len(left)) : pos][::-1]
-        differs = np.flatnonzero(own != left[: len(own)])
-        start = pos - (int(differs[0]) if len(differs) else len(own))
-        own = h[last : last + len(right)]
-        differs = np.flatnonzero(own != right[: len(own)])
-        end = last + (int(differs[0]) if len(differs) else len(own))
-        found.setdefault((ref, pos - ref_pos), []).append((start, end))
-    out = []
-    for (ref, diagonal), spans in found.items():
-        spans.sort()
-        start, end = spans[0]
-        for a, b in [*spans[1:], (1 << 62, 0)]:
-            if a <= end:
-                end = max(end, b)
-            else:
-                if end - start >= min_words:
-                    out.append((start, end, ref, start - diagonal))
-                start, end = a, b
+    out = set()
+    for ref, at, part, shifts, los, his in runs:
+        w = np.frombuffer(part, np.uint32)
+        for g, lo, hi in zip(shifts, los, his):
+            a, b = max(lo, at + g), min(hi, at + g + len(w), len(h))
+            if b - a < min_words:
+                continue
+            edges = np.concatenate(([-1], np.flatnonzero(h[a:b] != w[a - g - at : b - g - at]), [b - a]))
+            n = np.diff(edges) - 1
+            for k in np.flatnonzero(n >= min_words).tolist():
+                start = a + int(edges[k]) + 1
+                out.add((start, start + int(n[k]), ref, start - g))
     return sorted(out)
 
 
-def prepared(docs: DataFrame, block: int, min_words: int, reach: int) -> DataFrame:
-    """doc_id and the list of its anchored runs. Anchors and runs are written, so the packets' files can go."""
-    if min_words < 2 * block - 1:
-        raise ValueError("a repeat of min_words has to hold a whole block")
+def prepared(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id and the list of its strips. Windows and strips are written, so the packets' files can go."""
     spark = docs.sparkSession
     real = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     with shuffle_files_go(spark):
-        hits = written(anchors(windows(real, buckets(spark), block), block), "anchors")
-        runs = written(strips(hits, real, block, reach), "runs")
-    return runs.groupBy("doc").agg(F.collect_list(F.struct("ref", "pos", "last", "ref_pos", "body", "before", "after")).alias("__runs")).select(F.col("doc").alias("__doc"), "__runs")
+        parts = buckets(spark)
+        hits = written(repeated(windows(real, parts, min_words), parts), "repeated")
+        runs = written(strips(diagonals(hits, min_words), real), "strips")
+    return runs.groupBy("doc").agg(F.collect_list(F.struct("ref", "at", "words", "shift", "lo", "hi")).alias("__runs")).select(F.col("doc").alias("__doc"), "__runs")
 
 
 def rows_of_runs(column):
@@ -206,7 +218,7 @@ def rows_of_runs(column):
     return [list(zip(*[f[a:b] for f in fields])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
-def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies of passages: doc_id, start_word, n_words, ref_doc_id, ref_start_word."""
     names = ["doc_id", "start_word", "n_words", "ref_doc_id", "ref_start_word"]
 
@@ -218,7 +230,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, rea
                 out += [(doc, s, e - s, ref, r) for s, e, ref, r in extended(word_hashes(batch.column(1), i, table, cache)[0], runs, min_words)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], names)
 
-    runs = prepared(docs, block, min_words, reach)
+    runs = prepared(docs, min_words)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(runs.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "__runs")
     return both.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).distinct()
 
@@ -235,12 +247,12 @@ def without(text: bytes, start: np.ndarray, spans: list[tuple]) -> bytes:
     return b"".join(out).rstrip() if at >= len(text) else b"".join(out)
 
 
-def remove(docs: DataFrame, block: int = BLOCK, min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without their later copies of passages; the columns stay, n_chars is counted anew."""
-    return shielded(docs, lambda d: cut(d, block, min_words, reach))
+    return shielded(docs, lambda d: cut(d, min_words))
 
 
-def cut(docs: DataFrame, block: int, min_words: int, reach: int) -> DataFrame:
+def cut(docs: DataFrame, min_words: int) -> DataFrame:
     columns = docs.columns
     schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType, True) for f in docs.schema])
     at = columns.index("text")
@@ -265,6 +277,6 @@ def cut(docs: DataFrame, block: int, min_words: int, reach: int) -> DataFrame:
             values = [fresh if c == "text" else pa.compute.coalesce(pa.compute.utf8_length(fresh).cast(pa.int64()), batch.column(k).cast(pa.int64())) if c == "n_chars" else batch.column(k) for k, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(values, schema.names).filter(pa.array(stays))
 
-    runs = prepared(docs, block, min_words, reach)
+    runs = prepared(docs, min_words)
     both = docs.join(runs.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").select(*[docs[f"`{c}`"] for c in columns], "__runs")
     return both.mapInArrow(run, schema)

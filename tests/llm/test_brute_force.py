@@ -108,6 +108,23 @@ def test_repeats(spark, vocabulary):
         assert kept.get(d, []) == [w for j, w in enumerate(t.split()) if (d, j) not in got]
 
 
+def test_repeats_of_any_partner(spark):
+    """The only aligned block of a 60-word repeat has a first and a nearest occurrence in shorter contexts; and few words, where many edges agree by chance."""
+    rng = random.Random(12)
+    fresh = lambda n: prose(rng, n, 1_000_000)
+    long = fresh(60)
+    stock = long[15:45]
+    texts = [fresh(40), fresh(30) + stock + fresh(30), *[fresh(60) for _ in range(3)], fresh(33) + long + fresh(20), fresh(70), fresh(60), fresh(41) + stock + fresh(30), fresh(10) + long + fresh(25), fresh(30) * 9]
+    few = [" ".join(sum((rng.choice(parts) for _ in range(8)), [])) for parts in [[prose(rng, n, 3) for n in (7, 11, 13, 17, 24)]] for _ in range(60)]
+    for case in ([" ".join(t) for t in texts], few):
+        rows = substring.repeats(frame(spark, case)).collect()
+        got, want = {(r["doc_id"], j) for r in rows for j in range(r["start_word"], r["start_word"] + r["n_words"])}, covered(case, 50)
+        assert want and got == want
+        for r in rows:
+            a, b, s, q, n = case[r["doc_id"]].split(), case[r["ref_doc_id"]].split(), r["start_word"], r["ref_start_word"], r["n_words"]
+            assert a[s : s + n] == b[q : q + n] and (r["ref_doc_id"], q) < (r["doc_id"], s)
+
+
 def test_packing(spark):
     rng = random.Random(5)
     sizes = [rng.choice([0, 1, 7, 300, 1000, 1500, 2048, 2049, 9000]) + rng.randrange(40) for _ in range(400)]
