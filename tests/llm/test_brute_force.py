@@ -219,6 +219,23 @@ def test_groups(spark):
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_recall_near_threshold(spark):
+    """Pairs of similarity 0.5 and a little above, each apart from all others, so nothing but their own bands finds them."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(400):
+        w = prose(rng, rng.randrange(80, 140), 1_000_000)
+        other = list(w)
+        for i in rng.sample(range(1, len(w) - 1, 2), round(len(w) * rng.uniform(0.12, 0.15))):
+            other[i] = f"c{rng.randrange(1_000_000)}"
+        texts += [" ".join(w), " ".join(other)]
+    want = {(j, i): s for i, j, s in similarities(texts) if s >= minhash.THRESHOLD}
+    got = {(r["doc_id"], r["duplicate_of"]) for r in minhash.groups(frame(spark, texts)).collect()}
+    low = {p for p, s in want.items() if s < 0.56}
+    assert len(low) > 200 and got <= set(want)
+    assert len(low & got) >= 0.9 * len(low) and len(got) >= 0.9 * len(want), (len(low & got), len(low), len(got), len(want))
+
+
 def test_bucket_of_many(spark):
     """Every pair of a large bucket whose components differ is compared, whatever the least doc_id is like."""
     rng = random.Random(1)
