@@ -10,8 +10,8 @@ WIDTH ** BLOCKS times as many filters as vectors, so a filter holds some unrelat
 which simulated pairs at the threshold share a filter with the wanted probability. Pairs above the threshold are more likely
 found than that. Vectors go to their filters rounded to bytes; pairs near by these are verified on the vectors themselves. Equal vectors are joined exactly: one of each goes through the filters.
 
-Defined results: null, empty, zero and non-finite vectors and null ids are in no pair, nor are vectors whose length isn't the
-most frequent one; repeated rows of one id count once; equal vectors of different ids are pairs of similarity 1; an empty
+Defined results: null, empty, zero and non-finite vectors and null ids are in no pair; vectors of different lengths
+are in no pair with each other, and each length is searched by itself; repeated rows of one id count once; equal vectors of different ids are pairs of similarity 1; an empty
 table gives no pairs; extra columns are not read.
 """
 
@@ -54,7 +54,7 @@ def plan(n: int, dim: int, threshold: float, recall: float, blocks: int, seed: i
     b = rng.standard_normal((m, dim))
     b -= (a * b).sum(1, keepdims=True) * a
     b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
-    low, high = 1.5 / math.sqrt(dim), 1.0
+    low, high = min(0.5, 1.5 / math.sqrt(dim)), 1.0
     for _ in range(10):
         p["bound"] = (low + high) / 2
         (i, x), (j, y) = decode(a.astype(np.float32), p), decode(b.astype(np.float32), p)
@@ -91,12 +91,17 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     clean = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), array.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     clean = clean.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.max("v").alias("v"))
     distinct = written(clean.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    sizes = distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    sizes = distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dim").collect()
+    many = distinct.where(F.size("ids") > 1)
+    found = many.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "cosine")
+    for s in sizes:
+        found = found.unionByName(of_length(distinct.where(F.size("v") == s["dim"]), plan(s["n"], s["dim"], threshold, recall, blocks, seed), threshold))
+    return found
+
+
+def of_length(one: DataFrame, p: dict, threshold: float) -> DataFrame:
+    """id_a < id_b and cosine of the pairs of unequal vectors of one length; one: v and the ids that have it."""
     result = "id_a bigint, id_b bigint, cosine double"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], result)
-    p = plan(sizes["n"], sizes["dim"], threshold, recall, blocks, seed)
-    one = distinct.where(F.size("v") == sizes["dim"])
 
     def list_decode(batches):
         for batch in batches:
@@ -151,7 +156,7 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
             ok = pa.array(c >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.minimum(c, 1.0))], ["id_a", "id_b", "cosine"]).filter(ok)
 
-    groups = buckets(vectors.sparkSession, 8)
+    groups = buckets(one.sparkSession, 8)
     first = one.select(F.col("ids")[0].alias("id"), "v")
     capped = first.mapInArrow(list_decode, "id bigint, q binary, filter bigint").withColumn("group", F.pmod(F.xxhash64("filter"), F.lit(groups)))
     near = written(capped.groupBy("group").applyInArrow(share, "id_a bigint, id_b bigint").distinct(), "near")
@@ -162,5 +167,4 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     many = sets.where(F.size("ids") > 1)
     wide = found.join(many.select(F.col("k").alias("id_a"), F.col("ids").alias("as")), "id_a", "left").join(many.select(F.col("k").alias("id_b"), F.col("ids").alias("bs")), "id_b", "left")
     wide = wide.select(F.explode(F.coalesce("as", F.array("id_a"))).alias("a"), "id_b", "bs", "cosine").select("a", F.explode(F.coalesce("bs", F.array("id_b"))).alias("b"), "cosine")
-    same = many.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).where("a < b")
-    return wide.unionByName(same).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "cosine")
+    return wide.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "cosine")

@@ -174,6 +174,22 @@ def test_caps(spark):
     assert all(abs(found[p] - c[p]) < 1e-6 for p in found)
 
 
+def test_caps_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim, n in ((48, 200), (32, 150), (3, 12), (2, 6), (1, 3)):
+        base = rng.standard_normal((n, dim))
+        v = np.concatenate([base, base + 0.2 * rng.standard_normal((n, dim)), base[:2]]).astype(np.float32).astype(np.float64)
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want |= {(len(rows) + i, len(rows) + j): dim for i, j in zip(*np.nonzero(np.triu(u @ u.T, 1) >= spherical.THRESHOLD))}
+        rows += [(len(rows) + i, x.tolist()) for i, x in enumerate(v)]
+    found = {(r["id_a"], r["id_b"]) for r in spherical.pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert found <= set(want)
+    for dim in (48, 32, 3, 2, 1):
+        own = {p for p, d in want.items() if d == dim}
+        assert len(own) > 2 and len(found & own) >= 0.9 * len(own), (dim, len(found & own), len(own))
+
+
 def shingled(text):
     w = re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter((x,) for x in w)
