@@ -34,7 +34,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spherical.pairs(table(spark, sf_dir, "embeddings"))
+    return spherical.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.selected(table(spark, sf_dir, "documents"))
+    chosen = mixing.selected(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
     return chosen.select("doc_id", "source", "lang", F.col("__words").alias("n_words"), F.col("__pattern").alias("pattern"), F.col("__copies").alias("copies"))
 
 

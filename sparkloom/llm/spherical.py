@@ -1,18 +1,26 @@
 """Near-duplicate embeddings by spherical-cap filters of a structured random product code.
 
-Vectors are normalised, rotated at random and cut into BLOCKS parts. Each part has a random code of unit vectors; a filter
-is one code word of each part, so side ** BLOCKS filters are described by BLOCKS * side short vectors. A vector is
-list-decoded to every filter whose direction its inner product exceeds: code words of a part are sorted by score and partial
-sums that can't reach the bound are pruned. Vectors that share a filter are candidates and are verified exactly.
+Vectors are normalised, rotated at random and cut into blocks. Each block has a random code of unit vectors; a filter
+is one code word of each block, so side ** blocks filters are described by blocks * side short vectors. A vector is
+list-decoded to every filter whose direction its inner product exceeds: code words of a block that can't reach the bound
+with the best of the others are left out before they are combined. Vectors that share a filter are joined and verified.
 
 The bound and the size of the code follow from the number of vectors, the threshold and the wanted recall: about
-WIDTH ** BLOCKS times as many filters as vectors, so a filter holds some unrelated vectors at any size, and the highest bound at
+WIDTH ** 2 times as many filters as vectors, so a filter holds some unrelated vectors at any size, and the highest bound at
 which simulated pairs at the threshold share a filter with the wanted probability. Pairs above the threshold are more likely
-found than that. Vectors go to their filters rounded to bytes; pairs near by these are verified on the vectors themselves. Equal vectors are joined exactly: one of each goes through the filters.
+found than that. Vectors go to their filters rounded to 16 bits; pairs nearer to the threshold than this may err are
+verified on the vectors themselves.
 
-Defined results: null, empty, zero and non-finite vectors and null ids are in no pair; vectors of different lengths
-are in no pair with each other, and each length is searched by itself; repeated rows of one id count once; equal vectors of different ids are pairs of similarity 1; an empty
-table gives no pairs; extra columns are not read.
+A group of near copies costs a row per copy and not one per pair: in a filter, a vector is linked to the first that it is near
+to, and only what isn't near to that is compared further, so the links connect what all pairs would connect. The components
+are the classes. Each class is then counted through, in tiles of TILE x TILE vectors, so n_links is the exact number
+of other vectors near to one in its class, whatever the size of the class, and no pair leaves its tile. Equal vectors are one
+vector of several ids there.
+
+Defined results: a row for each id with a vector (class_id is its own and n_links 0 where nothing is near); null, empty, zero
+and non-finite vectors and null ids have no row; vectors of different lengths are never near, each length is searched by
+itself; repeated rows of one id count once, with the greatest vector; very long vectors are used whole; equal vectors are
+near; a class is named by its least id, so ties can't change it; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,23 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets, written
+from .graphs import components
 
 THRESHOLD = 0.9
-RECALL = 0.98
-BLOCKS = 2
-#: Code words of a part, as a multiple of the BLOCKS-th root of the number of vectors.
-WIDTH = 4
-#: What rounding to bytes may take from a cosine.
-MARGIN = 0.03
+RECALL = 0.96
+#: Code words of a block, as a multiple of the root of the number of vectors, and the most of them; beyond it there are more blocks.
+WIDTH, SIDE = 4, 4096
+#: Vectors of a side of a tile.
+TILE = 2048
+#: At most so many filters of more than a tile are broadcast.
+HOT = 100_000
 
 
-def plan(n: int, dim: int, threshold: float, recall: float, blocks: int, seed: int) -> dict:
+def plan(n: int, dim: int, threshold: float, recall: float, seed: int) -> dict:
     """Code, rotation and bound for n vectors of dim dimensions."""
-    blocks = max(1, min(blocks, dim))
+    blocks = 2
+    while WIDTH ** (2 / blocks) * max(n, 1) ** (1 / blocks) > SIDE:
+        blocks += 1
+    blocks = min(blocks, dim)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     parts = np.array_split(np.arange(dim), blocks)
-    side = max(8, math.ceil(WIDTH * max(n, 1) ** (1 / blocks)))
+    side = max(8, math.ceil(WIDTH ** (2 / blocks) * max(n, 1) ** (1 / blocks)))
     code = []
     for p in parts:
         c = rng.standard_normal((side, len(p)))
@@ -70,101 +83,192 @@ def decode(v: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """Rows and filters of all (vector, filter) whose inner product is the bound at least."""
     v = v @ p["rotation"]
     scores = [v[:, part] @ c.T for part, c in zip(p["parts"], p["code"])]
-    rest = np.zeros((len(scores) + 1, len(v)), np.float32)
-    for i in range(len(scores) - 1, -1, -1):
-        rest[i] = rest[i + 1] + scores[i].max(1)
+    best = np.stack([s.max(1) for s in scores])
+    rest = np.concatenate((np.cumsum(best[::-1], 0)[::-1], np.zeros((1, len(v)), np.float32)))
     rows, key, total = np.arange(len(v)), np.zeros(len(v), np.int64), np.zeros(len(v), np.float32)
     for i, s in enumerate(scores):
-        order = np.argsort(-s, axis=1)
-        high = np.take_along_axis(s, order, 1)
-        need = p["bound"] - rest[i + 1][rows] - total  # scores of this part below it are pruned
-        n = (high[rows] >= need[:, None]).sum(1)
-        at = np.repeat(np.arange(len(rows)), n)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        total, key, rows = total[at] + high[rows[at], k], key[at] * p["side"] + order[rows[at], k], rows[at]
+        # Words of this block that reach the bound with the best of all others; then each partial sum with each of them.
+        row, word = np.nonzero(s >= (p["bound"] - (rest[0] - best[i]))[:, None])
+        n = np.bincount(row, minlength=len(v))
+        first, score = np.cumsum(n) - n, s[row, word]
+        own = n[rows]
+        at = np.repeat(np.arange(len(rows)), own)
+        k = np.repeat(first[rows], own) + np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)
+        sums = total[at] + score[k]
+        ok = sums + rest[i + 1][rows[at]] >= p["bound"]
+        total, key, rows = sums[ok], key[at[ok]] * p["side"] + word[k[ok]], rows[at[ok]]
     return rows, key
 
 
-def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, blocks: int = BLOCKS, seed: int = 11, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """id_a < id_b and cosine of the pairs of at least threshold."""
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def expand(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i < j, within groups of these sizes that lie one after the other."""
+    left = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum())) - 1
+    i = np.repeat(np.arange(len(left)), left)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+
+
+def links(v: np.ndarray, low: float) -> tuple[list, list]:
+    """Pairs of rows of v (unit vectors) of at least low similarity that connect all that such pairs connect."""
+    a, b, rest = [], [], np.arange(len(v))
+    while len(rest) > 1:
+        near = v[rest[1:]] @ v[rest[0]] >= low
+        hit, rest = rest[1:][near], np.concatenate((rest[:1], rest[1:][~near]))
+        a += [int(rest[0])] * len(hit)
+        b += hit.tolist()
+        head, rest = rest[0], rest[1:]
+        if len(hit) and len(rest):  # what isn't near to the head may be near to those that are; one of them connects it
+            for lo in range(0, len(rest), 512):
+                c = v[rest[lo : lo + 512]] @ v[hit].T >= low
+                some = np.flatnonzero(c.any(1))
+                a += hit[c[some].argmax(1)].tolist()
+                b += rest[lo + some].tolist()
+    return a, b
+
+
+def classes(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """vec_id, class_id (least id of those that chains of near vectors connect) and n_links (number of ids near to it)."""
+    spark = vectors.sparkSession
     array = F.col(f"`{column}`").cast("array<float>")
     clean = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), array.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     clean = clean.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.max("v").alias("v"))
-    distinct = written(clean.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    sizes = distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dim").collect()
-    many = distinct.where(F.size("ids") > 1)
-    found = many.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "cosine")
+    # Equal vectors are found by a hash, as a key that is shuffled once with each id; a group of copies is only a count and its least id.
+    own = written(clean.withColumn("h", F.xxhash64("v")), "vectors")
+    one = written(own.groupBy("h", "v").agg(F.min("id").alias("k"), F.count(F.lit(1)).alias("m")).select("h", "k", "v", "m"), "distinct")
+    sizes = one.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dim").collect()
+    found = spark.createDataFrame([], "a bigint, b bigint")
     for s in sizes:
-        found = found.unionByName(of_length(distinct.where(F.size("v") == s["dim"]), plan(s["n"], s["dim"], threshold, recall, blocks, seed), threshold))
-    return found
+        found = found.unionByName(of_length(one.where(F.size("v") == s["dim"]), plan(s["n"], s["dim"], threshold, recall, seed), s["dim"], threshold))
+    root = components(found)
+    member = written(one.join(root, one["k"] == root["node"], "left").select("k", "v", "m", F.coalesce("root", "k").alias("root")), "members")
+    linked = counted(member, threshold)
+    every = member.join(linked, "k", "left").select("k", "root", (F.coalesce("near", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    many = own.join(one.where("m > 1").select("h", "v", "k"), ["h", "v"]).select("id", "k")
+    ids = one.where("m = 1").select(F.col("k").alias("id"), "k").unionByName(many)
+    return ids.join(every, "k").select(F.col("id").alias("vec_id"), F.col("root").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
 
 
-def of_length(one: DataFrame, p: dict, threshold: float) -> DataFrame:
-    """id_a < id_b and cosine of the pairs of unequal vectors of one length; one: v and the ids that have it."""
-    result = "id_a bigint, id_b bigint, cosine double"
+def of_length(one: DataFrame, p: dict, dim: int, threshold: float) -> DataFrame:
+    """Links (a, b) of near vectors of one length that connect the classes; one: k and v."""
+    # Rounding to 16 bits moves a unit vector by at most half a step in each dimension.
+    margin = 3 * math.sqrt(dim) / 65534
+    batch_rows = max(64, (1 << 21) // p["side"])
 
     def list_decode(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
-                v = np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), -1).astype(np.float64)
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-                rows, key = decode(v, p)
-                q = np.round(v * (127 / np.abs(v).max(1, keepdims=True))).astype(np.int8)
+            for lo in range(0, len(batch), batch_rows):
+                part = batch.slice(lo, batch_rows)
+                v = unit(np.asarray(part.column(1).flatten(), np.float32).reshape(len(part), -1))
+                rows, key = decode(v.astype(np.float32), p)
+                q = np.round(v * (32767 / np.abs(v).max(1, keepdims=True))).astype(np.int16)
                 code = pa.array([x.tobytes() for x in q], pa.binary())
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), code.take(at), pa.array(key)], ["id", "q", "filter"])
 
     def share(t: pa.Table) -> pa.Table:
-        """Pairs that share a filter and are near by their rounded vectors."""
+        """Links within the filters, and pairs that have to be verified on the vectors."""
         ids, key = t.column("id").to_numpy(), t.column("filter").to_numpy()
         order = np.lexsort((ids, key))
         ids, key = ids[order], key[order]
-        v = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(ids), -1)[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
-        found = []
-
-        def near(i: np.ndarray, j: np.ndarray) -> None:
-            for lo in range(0, len(i), 1 << 16):
-                a, b = v[i[lo : lo + (1 << 16)]].astype(np.float32), v[j[lo : lo + (1 << 16)]].astype(np.float32)
-                c = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-                ok = np.flatnonzero(c >= threshold - MARGIN) + lo
-                found.append(np.stack([ids[i[ok]], ids[j[ok]]], 1))
-
-        small = size <= 64
-        left = np.repeat(first + size, size) - np.arange(len(key)) - 1  # entries after each in its filter
-        left[np.repeat(~small, size)] = 0
-        for lo in range(0, len(key), 1 << 15):  # pairs of some entries at a time
-            n = left[lo : lo + (1 << 15)]
-            i = np.repeat(np.arange(lo, lo + len(n)), n)
-            near(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        several = np.repeat(size > 1, size)
+        order, ids = order[several], ids[several]
+        size = size[size > 1]
+        if not len(size):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sure": pa.array([], pa.bool_())})
+        raw = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int16).reshape(t.num_rows, -1)
+        v = raw[order].astype(np.float32)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        first = np.cumsum(size) - size
+        a, b, sure = [], [], []
+        small = size <= 16
+        rows = np.flatnonzero(np.repeat(small, size))
+        cuts = np.searchsorted(np.cumsum(size[small]), np.arange(0, len(rows) + (1 << 14), 1 << 14))
+        for lo, hi in zip(cuts, cuts[1:]):  # all pairs of the small filters, some filters at a time
+            own = size[small][lo:hi]
+            begin = int(size[small][:lo].sum())
+            i, j = expand(own)
+            i, j = rows[begin + i], rows[begin + j]
+            c = np.einsum("ij,ij->i", v[i], v[j])
+            ok = np.flatnonzero(c >= threshold - margin)
+            a.append(i[ok])
+            b.append(j[ok])
+            sure.append(c[ok] >= threshold + margin)
         for start, n in zip(first[~small].tolist(), size[~small].tolist()):
-            u = v[start : start + n].astype(np.float32)
-            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            own = v[start : start + n]
+            x, y = links(own, threshold + margin)
             for lo in range(0, n, 512):
-                i, j = np.nonzero(u[lo : lo + 512] @ u[lo:].T >= threshold - MARGIN)
-                ok = i < j
-                found.append(np.stack([ids[start + lo + i[ok]], ids[start + lo + j[ok]]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"id_a": pairs[:, 0], "id_b": pairs[:, 1]})
+                c = own[lo : lo + 512] @ own[lo:].T
+                i, j = np.nonzero((c >= threshold - margin) & (c < threshold + margin))
+                keep = i < j
+                a.append(start + lo + i[keep])
+                b.append(start + lo + j[keep])
+                sure.append(np.zeros(int(keep.sum()), bool))
+            a.append(start + np.array(x, np.int64))
+            b.append(start + np.array(y, np.int64))
+            sure.append(np.ones(len(x), bool))
+        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        pairs = np.unique(np.stack([ids[a], ids[b], sure], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "sure": pairs[:, 2].astype(bool)})
 
     def verify(batches):
         for batch in batches:
-            a, b = (np.asarray(batch.column(i).flatten(), np.float64).reshape(len(batch), -1) for i in (2, 3))
-            c = np.einsum("ij,ij->i", a, b) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-300) if len(batch) else np.zeros(0)
-            ok = pa.array(c >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.minimum(c, 1.0))], ["id_a", "id_b", "cosine"]).filter(ok)
+            a, b = (np.asarray(batch.column(i).flatten(), np.float32).reshape(len(batch), -1) for i in (2, 3))
+            ok = np.einsum("ij,ij->i", unit(a), unit(b)) >= threshold if len(batch) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     groups = buckets(one.sparkSession, 8)
-    first = one.select(F.col("ids")[0].alias("id"), "v")
-    capped = first.mapInArrow(list_decode, "id bigint, q binary, filter bigint").withColumn("group", F.pmod(F.xxhash64("filter"), F.lit(groups)))
-    near = written(capped.groupBy("group").applyInArrow(share, "id_a bigint, id_b bigint").distinct(), "near")
-    exact = near.join(first.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(first.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
-    found = exact.select("id_a", "id_b", "va", "vb").mapInArrow(verify, result)
-    # Back from one vector of each set of equal ones to all of their ids.
-    sets = one.select(F.col("ids")[0].alias("k"), "ids")
-    many = sets.where(F.size("ids") > 1)
-    wide = found.join(many.select(F.col("k").alias("id_a"), F.col("ids").alias("as")), "id_a", "left").join(many.select(F.col("k").alias("id_b"), F.col("ids").alias("bs")), "id_b", "left")
-    wide = wide.select(F.explode(F.coalesce("as", F.array("id_a"))).alias("a"), "id_b", "bs", "cosine").select("a", F.explode(F.coalesce("bs", F.array("id_b"))).alias("b"), "cosine")
-    return wide.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "cosine")
+    capped = written(one.select("k", "v").mapInArrow(list_decode, "id bigint, q binary, filter bigint"), "caps", {"parquet.dictionary.page.size": str(64 << 20)})
+    # A filter of more than TILE vectors is cut into blocks, and each two of them meet in a task of their own.
+    hot = written(capped.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).select("filter", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        placed = capped.join(F.broadcast(hot) if n_hot <= HOT else hot, "filter", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        placed = placed.withColumn("filter", F.when(F.col("tiles") > 1, F.xxhash64("filter", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("filter"))).select("id", "q", "filter")
+    else:
+        placed = capped
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("filter"), F.lit(groups)))
+    near = written(placed.groupBy("group").applyInArrow(share, "a bigint, b bigint, sure boolean").distinct(), "near")
+    open_ = near.where("NOT sure").join(one.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
+    return near.where("sure").select("a", "b").unionByName(open_.select("a", "b", "va", "vb").mapInArrow(verify, "a bigint, b bigint"))
+
+
+def counted(member: DataFrame, threshold: float) -> DataFrame:
+    """k and the number of ids with other vectors near to it, for the vectors of classes of several."""
+    size = member.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    placed = member.join(size, "root").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("k", "v", "m", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "own")
+    spread = spread.withColumn("group", F.pmod(F.xxhash64("root", "x", "y"), F.lit(buckets(member.sparkSession, 8))))
+
+    def count(t: pa.Table) -> pa.Table:
+        k, root, x, y, own, m = (t.column(c).to_numpy() for c in ("k", "root", "x", "y", "own", "m"))
+        order = np.lexsort((own, y, x, root))
+        k, root, x, y, own, m = (c[order] for c in (k, root, x, y, own, m))
+        first = np.flatnonzero(np.concatenate(([True], (root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        end = np.append(first[1:], len(k))
+        out = np.zeros(len(k), np.int64)
+        column = t.column("v").combine_chunks()
+        for a, b in zip(first.tolist(), end.tolist()):
+            v = unit(np.asarray(column.take(pa.array(order[a:b])).flatten(), np.float32).reshape(b - a, -1))
+            cut = int(np.searchsorted(own[a:b], x[a], "right")) if x[a] != y[a] else 0  # two blocks, or one against itself
+            for lo in range(0, b - a, 512):
+                if x[a] == y[a]:
+                    c = v[lo : lo + 512] @ v.T >= threshold
+                    c[np.arange(len(c)), lo + np.arange(len(c))] = False
+                    out[a + lo : a + lo + len(c)] += c @ m[a:b]
+                elif lo < cut:
+                    c = v[lo : min(lo + 512, cut)] @ v[cut:].T >= threshold
+                    out[a + lo : a + lo + len(c)] += c @ m[a + cut : b]
+                    out[a + cut : b] += m[a + lo : a + lo + len(c)] @ c
+        return pa.table({"k": k, "near": out})
+
+    return spread.groupBy("group").applyInArrow(count, "k bigint, near bigint").groupBy("k").agg(F.sum("near").alias("near"))
