@@ -1,9 +1,12 @@
 """Hierarchical best-fit packing of documents into sequences of a fixed number of words.
 
-A document longer than the capacity is cut into pieces of that length and a rest. Each partition packs its pieces
-best-fit, longest first, and emits the bins that are at least FULL full. The others go up a tree of fan-in FAN:
-each node takes its children's underfull bins as items, packs them best-fit, and emits full ones again; the root
-emits all. Each level is written, so bins that were emitted and bins that went up always come from one packing.
+A document longer than the capacity is cut into pieces of that length and a rest. Documents are dealt to partitions by a
+hash of doc_id and length (only these two are shuffled), so the bins depend on the documents and on
+spark.sql.shuffle.partitions, not on how files are split. Each partition packs its pieces best-fit, longest first, and emits
+the bins that are at least FULL full. The others go up a tree of fan-in FAN: each node takes its children's underfull bins
+as items, packs them best-fit, and emits full ones again; the root emits all. A bin that not even the emptiest of all
+underfull bins fits into is emitted at once, as no later round could add to it. Each level is written, so bins that were emitted
+and bins that went up always come from one packing.
 
 Defined results: null or empty text has no words and is in no bin; null doc_id is packed and stays null; repeated rows are packed
 each; ties order by doc_id and start; very long texts are cut; an empty table gives an empty result; other
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import buckets, word_count, written
 
 CAPACITY = 2048
 FULL = 0.98
@@ -69,16 +72,14 @@ def local_bins(items: list[tuple], node: int, capacity: int, full: float) -> lis
 def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: int = FAN, length: str | None = None) -> DataFrame:
     """bin_id, doc_id, start_word, n_words and bin_offset of each piece. length: a column of lengths to use in place of words."""
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.col(length).cast("long"), F.lit(0)) if length else word_count(F.col("text"))).alias("n"))
-    # Counted words are an expression: Spark would push the filter below it and count twice.
-    first = lengths.withColumn("node", F.spark_partition_id())
+    parts = buckets(docs.sparkSession)
+    first = lengths.where("n > 0").withColumn("node", F.pmod(F.xxhash64("doc_id", "n"), F.lit(parts)).cast("int"))
 
-    def local(batches):
-        items, node = [], 0
-        for batch in batches:
-            for doc, n, node in zip(*[c.to_pylist() for c in batch.columns]):
-                items += [(doc, s, min(capacity, n - s)) for s in range(0, n, capacity)]
-        if items:
-            yield table_of(local_bins(items, node, capacity, full))
+    def local(t: pa.Table) -> pa.Table:
+        items, node = [], t.column("node")[0].as_py()
+        for doc, n in zip(t.column("doc_id").to_pylist(), t.column("n").to_pylist()):
+            items += [(doc, s, min(capacity, n - s)) for s in range(0, n, capacity)]
+        return pa.Table.from_batches([table_of(local_bins(items, node, capacity, full))])
 
     def merge(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*[t.column(n).to_pylist() for n, _ in FIELDS]), key=lambda r: (-r[2], r[1]))
@@ -89,12 +90,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: int
             out.append((own[0][0], own[0][1], fill, fill >= full * capacity, *[sum((r[k] for r in own), []) for k in (4, 5, 6)]))
         return pa.Table.from_batches([table_of(out)])
 
-    level = written(first.mapInArrow(local, BINS), "bins")
-    parts, results = level.agg(F.max("node")).first()[0], []
-    nodes = (parts or 0) + 1
+    level, nodes, results = written(first.groupBy("node").applyInArrow(local, BINS), "bins"), parts, []
     while nodes > 1:
-        results.append(level.where("done"))
-        up = level.where("NOT done").withColumn("node", F.floor(F.col("node") / fan).cast("int"))
+        least = level.where("NOT done").agg(F.min("fill")).first()[0]
+        over = F.col("done") | (F.col("fill") > capacity - (least or 0))
+        results.append(level.where(over))
+        up = level.where(~over).withColumn("node", F.floor(F.col("node") / fan).cast("int"))
         level = written(up.groupBy("node").applyInArrow(merge, BINS), "bins")
         nodes = -(-nodes // fan)
     every = level
