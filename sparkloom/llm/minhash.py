@@ -8,7 +8,7 @@ Documents that share a band's key are candidates. First each is paired with the
 pairs are verified by exact weighted Jaccard similarity, and verified pairs form components. Then every pair
 of a bucket whose components still differ is a candidate too, if at least LEAST of its K samples agree, so large
 groups of copies cost a row per copy and no pair is left out for being in a large bucket. A pair of
-similarity 0.5 shares a band with a probability of 0.93 and fails LEAST with one of 0.1 %.
+similarity 0.5 shares a band with a probability of 0.93 and fails LEAST with one of 4e-7.
 
 Defined results: documents without words, with null text or null doc_id are in no group; repeated rows of one
 doc_id count as one document if their texts agree, else the row with the greatest text counts; ties in a group
@@ -31,7 +31,7 @@ from .textops import U, buffers, folded_table, mix, pack_sorted, slices, unpack_
 BANDS, ROWS = 20, 3
 K = BANDS * ROWS
 THRESHOLD = 0.5
-LEAST = 19
+LEAST = 12
 
 
 def weighted_shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -55,7 +55,7 @@ def folded_table() -> np.ndarray:
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64) and bytes of a string column. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        column = (column.cast(pa.large_string()) if column.nbytes >= 1 << 31 else column).combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
     if len(column) == 0:
