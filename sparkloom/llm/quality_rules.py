@@ -3,10 +3,11 @@
 Rules, on a line with tabs as spaces and outer spaces trimmed (a blank line passes and stays):
 
 * punctuation: ASCII punctuation beyond two marks makes up over DENSITY of the characters, or the
-  line has fewer than SHORT words and doesn't end in one of ENDS;
+  line has fewer than SHORT words (in scripts that set no spaces between words: UNSPACED, fewer than
+  SHORT_SIGNS characters) and doesn't end in one of ENDS, the sentence ends of many scripts;
 * navigation: two or more of SEPARATORS, and one for every six words at least;
 * repetition (boilerplate): of MANY words or more, under DISTINCT are different;
-* boilerplate: at most 30 words, and a phrase of PHRASES.
+* boilerplate: at most 30 words, and a phrase of PHRASES (English, French, German, Spanish).
 
 A document goes if its kept lines, joined, have under keep_share of its characters or are blank.
 
@@ -26,11 +27,15 @@ from pyspark.sql import types as T
 
 from .textops import buffers, slices, word_table, words
 
-DENSITY, SHORT, MANY, DISTINCT, KEEP = 0.12, 6, 20, 0.2, 0.5
+DENSITY, SHORT, SHORT_SIGNS, MANY, DISTINCT, KEEP = 0.12, 6, 12, 20, 0.2, 0.5
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-ENDS = ".!?:;\"')]…»”’"
+ENDS = ".!?:;\"')]…»”’" + "。！？：；」』）】》．｡" + "؟۔؛" + "।॥" + "។៕" + "։" + "።፧" + "༎"
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
 SEPARATORS = "|•›»>"
-PHRASES = "(?i)(accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)|all rights reserved|sign (up|in) (now|for|to)|log in to|subscribe (now|to)|click here|skip to (main )?content|back to top|read more|share this|enable javascript|lorem ipsum)"
+PHRASES = "(?i)(accept (all )?cookies|cookie (policy|settings)|privacy policy|terms of (use|service)|all rights reserved|sign (up|in) (now|for|to)|log in to|subscribe (now|to)|click here|skip to (main )?content|back to top|read more|share this|enable javascript|lorem ipsum"
+PHRASES += "|accepter (les|tous les) cookies|politique de (confidentialité|cookies)|mentions légales|tous droits réservés|(s'inscrire|inscrivez-vous) (maintenant|ici)|se connecter|abonnez-vous|cliquez ici|aller au contenu|haut de (la )?page|en savoir plus|lire la suite"
+PHRASES += "|(alle )?cookies akzeptieren|cookie-(richtlinie|einstellungen)|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|jetzt (anmelden|registrieren|abonnieren)|hier klicken|zum (haupt)?inhalt springen|nach oben|weiterlesen"
+PHRASES += "|aceptar (todas )?(las )?cookies|política de (privacidad|cookies)|aviso legal|todos los derechos reservados|(regístrate|suscríbete) (ahora|aquí)|iniciar sesión|haz clic aquí|saltar al contenido|volver arriba|leer más)"
 
 
 TABLES = {"marks": np.isin(np.arange(256), [ord(c) for c in MARKS]), "separators": np.isin(np.arange(256), [ord(c) for c in SEPARATORS if ord(c) < 128]), "words": word_table()}
@@ -74,11 +79,15 @@ def line_passes(lines: pa.Array) -> np.ndarray:
             row, h = row[order], h[order]
             new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
             different[lo:hi] = np.bincount(row[new], minlength=hi - lo)
-    ends = pc.is_in(pc.utf8_slice_codeunits(t, -1, None), pa.array(list(ENDS))).to_numpy(zero_copy_only=False)
+    ends = np.array(pc.is_in(pc.utf8_slice_codeunits(t, -1, None), pa.array(list(ENDS))).to_numpy(zero_copy_only=False))
     boilerplate = np.zeros(len(t), bool)
     brief = np.flatnonzero((n > 0) & (n <= 30))
     if len(brief):
         boilerplate[brief] = pc.match_substring_regex(t.take(pa.array(brief)), PHRASES).to_numpy(zero_copy_only=False)
+    short = np.flatnonzero(~ends & (n < SHORT))
+    if len(short):
+        unspaced = pc.match_substring_regex(t.take(pa.array(short)), UNSPACED).to_numpy(zero_copy_only=False)
+        ends[short[unspaced & (length[short] >= SHORT_SIGNS)]] = True
     bad = (marks - 2 > DENSITY * length) | (~ends & (n < SHORT)) | ((separators >= 2) & (separators * 6 >= n)) | ((n >= MANY) & (different < DISTINCT * n)) | boilerplate
     return (length == 0) | ~bad
 
@@ -126,7 +135,7 @@ def clean_sql(source: str = "documents", keep_share: float = KEEP, report: bool
       SELECT *, array_to_string(kept, chr(10)) AS whole FROM (
         SELECT *, list_filter(ls, lambda x: list_transform([trim(translate(x, chr(9) || chr(13), '  '))], lambda t: list_transform([list_filter(string_split(t, ' '), lambda w: w <> '')], lambda ws:
           t = '' OR NOT (
-            (length(t) - length(translate(t, '{q(MARKS)}', '')) - 2 > {DENSITY}::DOUBLE * length(t)) OR (strpos('{q(ENDS)}', right(t, 1)) = 0 AND len(ws) < {SHORT})
+            (length(t) - length(translate(t, '{q(MARKS)}', '')) - 2 > {DENSITY}::DOUBLE * length(t)) OR (strpos('{q(ENDS)}', right(t, 1)) = 0 AND len(ws) < {SHORT} AND NOT (length(t) >= {SHORT_SIGNS} AND regexp_matches(t, '{UNSPACED}')))
             OR (length(t) - length(translate(t, '{q(SEPARATORS)}', '')) >= 2 AND (length(t) - length(translate(t, '{q(SEPARATORS)}', ''))) * 6 >= len(ws))
             OR (len(ws) >= {MANY} AND len(list_distinct(ws)) < {DISTINCT}::DOUBLE * len(ws))
             OR (len(ws) <= 30 AND regexp_matches(t, '{q(PHRASES)}'))))[1])[1]) AS kept
