@@ -1,8 +1,8 @@
 """License notices, found by MinHash bands over overlapping text windows and verified by shingle containment.
 
 Words are runs of letters and digits, ASCII letters in lower case; shingles are pairs of neighbouring words.
-Text is read through windows of two scales (SCALES: words, stride, and the length of the templates sought with
-it). Of a template every window is indexed, at stride 1, so a whole occurrence in a text always holds a window
+Text is read through windows of three scales (SCALES: words, stride, and the length of the templates sought with
+it; a scale without templates costs nothing). Of a template every window is indexed, at stride 1, so a whole occurrence in a text always holds a window
 that equals an indexed one, which then collides in every band: recall 1 for exact notices. With BANDS bands of
 ROWS samples, a window in which edits leave a Jaccard similarity s collides with probability
 1 - (1 - s^ROWS)^BANDS: 0.97 at 0.6, 0.999 at 0.75. A candidate is verified on the words where the template
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .textops import U, buffers, folded_table, mix, slices, words
 
-SCALES = ((4, 2, 5, 23), (16, 8, 24, 1 << 30))
+SCALES = ((2, 1, 2, 4), (4, 2, 5, 23), (16, 8, 24, 1 << 30))
 BANDS, ROWS = 8, 2
 CONTAINMENT = 0.8
 DENIAL = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -143,8 +143,9 @@ class Index:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = CONTAINMENT) -> DataFrame:
     """doc_id, license and containment for each template that a document holds."""
     templates = TEMPLATES if templates is None else templates
-    if any(len(buffers(pa.array([t]))[1]) == 0 for t in templates.values()):
-        raise ValueError("a template is empty")
+    for name, text in templates.items():
+        if len(folded(None, 0, 1, *buffers(pa.array([text])), {})[1]) < 2:
+            raise ValueError(f"{name}: a template has two words at least")
 
     def run(batches):
         index, cache = Index(templates), {}
