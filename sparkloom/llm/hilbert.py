@@ -9,7 +9,7 @@ characters become shards. A cell above the target is split by doc_id modulo. The
 Defined results: null source or lang counts as the empty string, null n_chars as the length of the text,
 null text as length 0, null doc_id as the least; repeated rows stay and fall in one cell; ties order by
 doc_id; an empty table gives an empty one; extra columns pass through. The added columns hilbert and
-shard_id replace columns of these names.
+shard_id replace columns of these names (in any case of letters).
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def placed(docs: DataFrame, target_chars: int) -> DataFrame:
     before = F.coalesce(F.sum("__chars").over(Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select(*[F.col(f"{d}k").alias(d) for d in DIMS], "hilbert", F.floor(before / target_chars).cast("long").alias("__run"), F.greatest(F.lit(1), F.ceil(F.col("__chars") / target_chars)).cast("long").alias("__parts"))
     out = grid.join(F.broadcast(cells), DIMS).withColumn("shard_id", F.col("__run") + F.coalesce(F.pmod(F.col("doc_id"), F.col("__parts")), F.lit(0)))
-    names = [c for c in docs.columns if c not in ("hilbert", "shard_id")]
+    names = [c for c in docs.columns if c.lower() not in ("hilbert", "shard_id")]
     return out.select(*[F.col(f"`{c}`") for c in names], "hilbert", "shard_id").repartition("shard_id").sortWithinPartitions("shard_id", "hilbert", "doc_id")
 
 
