@@ -5,6 +5,8 @@ log(ALPHA c(vw) / c(v)) where c(vw) > 0, else log(ALPHA^2 max(c(w), 1) / max(N,
 other documents. The first word of a document starts at the last form without ALPHA, the second at the second
 without ALPHA. A document's score is the sum over its words.
 
+With its own n-grams among the counts, a document would never back off: each of its trigrams would occur at least once.
+
 Counts are those of counts.py: tables of the three orders are partitioned by hash, joined to the exploded
 n-grams of each chunk of documents, and summed by document.
 
@@ -55,7 +57,7 @@ def levels(column):
 
 
 def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_words, log_score and mean_log_score (rounded to 4 decimals) of every row."""
+    """doc_id, mean_log_score, log_score (both rounded to 4 decimals) and n_words of every row."""
     chunks = buckets(docs.sparkSession, 2)
 
     def use(key, t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -80,11 +82,11 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             s = np.where((place_in_row >= 2) & (three > 0), np.log(three / before(two)), s)
         sums = np.bincount(row, s, rows).astype(np.float64)  # without words it counts in integers
         mean = np.round(sums / np.maximum(n, 1), 4)
-        return pa.table({"doc_id": t.column("doc_id").cast(pa.int64()), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(np.round(sums, 4)), "mean_log_score": pa.array(mean, mask=n == 0)})
+        return pa.table({"doc_id": t.column("doc_id").cast(pa.int64()), "mean_log_score": pa.array(mean, mask=n == 0), "log_score": pa.array(np.round(sums, 4)), "n_words": pa.array(n, pa.int64())})
 
     base = chunked(docs, chunks)
     answers = ask(base, levels, chunks)
-    return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(use, "doc_id bigint, n_words bigint, log_score double, mean_log_score double")
+    return base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(use, "doc_id bigint, mean_log_score double, log_score double, n_words bigint")
 
 
 def score_sql(alpha: float = ALPHA) -> str:
