@@ -58,10 +58,16 @@ def test_empty_table(spark, name):
 
 
 def test_empty_vectors(spark):
-    assert spherical.pairs(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
-    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "y"), (2, [1.0, 0.0], "y"), (3, None, None), (None, [1.0, 0.0], "z"), (4, [0.0, 1.0], "w")]
-    got = spherical.pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, cosine string")).collect()
-    assert [(r["id_a"], r["id_b"], r["cosine"]) for r in got] == [(1, 2, 1.0)]
+    assert spherical.classes(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "y"), (2, [1.0, 0.0], "y"), (3, None, None), (None, [1.0, 0.0], "z"), (4, [0.0, 1.0], "w"), (7, [1.0] * 20000, "v"), (8, [2.0] * 20000, "v")]
+    got = spherical.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, n_links string")).collect()
+    assert sorted((r["vec_id"], r["class_id"], r["n_links"]) for r in got) == [(1, 1, 1), (2, 1, 1), (4, 4, 0), (7, 7, 1), (8, 7, 1)]
+
+
+def test_names_in_another_case(spark):
+    df = spark.createDataFrame([(1, "a b c", "en", "src0", 5, "x", "y")], SCHEMA + ", Hilbert string, N_Tokens string")
+    assert [c.lower() for c in hilbert.shard(df).columns].count("hilbert") == 1
+    assert [c.lower() for c in token_output.tokenize(df).columns].count("n_tokens") == 1
 
 
 @pytest.mark.parametrize("k", range(5))
