@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECRET = r"(?i)(secret|passwd|password|token|api[_-]?key)\s*[:=]"
+from .census import SECRET_LINE, redact, redact_sql
+
+SECRET = SECRET_LINE
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: Line rules: name, severity, pattern. Patterns use no look-around, so other engines can run them.
 LINE_RULES = [
@@ -35,14 +37,12 @@ def directory(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Canonical repository path: no scheme, query or fragment, forward slashes, no './', '//' or resolvable '..'."""
+    """Canonical repository path: no scheme, query or fragment, forward slashes, no '.', empty or resolvable '..' segments, at any depth."""
     p = F.regexp_replace(F.trim(path), r"\\", "/")
     p = F.regexp_replace(F.regexp_replace(p, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
-    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"(^|/)(\./)+", "$1"), "^/|/$", "")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)[^/.][^/]*/\.\.(/|$)", "$1")
-    p = F.regexp_replace(p, "/$", "")
-    return F.when(p == "", ".").otherwise(p)
+    step = lambda s, x: F.when(x.isin("", "."), s).when((x == "..") & (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1)) != ".."), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(F.array_append(s, x))
+    out = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(out == "", ".").otherwise(out)
 
 
 def within(path: Column, root: Column) -> Column:
@@ -80,8 +80,8 @@ def fnv1a32(text: Column) -> Column:
 
 
 def redacted(line: Column) -> Column:
-    """A line whose secret value is replaced."""
-    return F.regexp_replace(line, r"(?i)((secret|passwd|password|token|api[_-]?key)\s*[:=]\s*)\S+", "$1[redacted]")
+    """A line whose rest after the sign of a secret is cut."""
+    return redact(line)
 
 
 def tokens(text: Column) -> Column:
@@ -132,11 +132,9 @@ def category_sql(path: str, name: str, ext: str) -> str:
 def normal_path_sql(x: str) -> str:
     p = f"regexp_replace(trim({x}), '\\\\', '/', 'g')"
     p = f"regexp_replace(regexp_replace({p}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '')"
-    p = f"regexp_replace(regexp_replace(regexp_replace({p}, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '^/|/$', '', 'g')"
-    for _ in range(3):
-        p = f"regexp_replace({p}, '(^|/)[^/.][^/]*/\\.\\.(/|$)', '\\1', 'g')"
-    return f"coalesce(nullif(regexp_replace({p}, '/$', ''), ''), '.')"
+    step = "CASE WHEN v[1] IN ('', '.') THEN s WHEN v[1] = '..' AND len(s) > 0 AND s[-1] <> '..' THEN s[1:len(s) - 1] ELSE list_concat(s, v) END"
+    return f"coalesce(nullif(array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({p}, '/'), lambda q: [q])), lambda s, v: {step}), '/'), ''), '.')"
 
 
 def redacted_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '(?i)((secret|passwd|password|token|api[_-]?key)\s*[:=]\s*)\S+', '\1[redacted]', 'g')"
+    return redact_sql(x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """Cuts lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a temporary folder only in local mode where it is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint()
 
 
@@ -26,13 +30,13 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
-def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth): the least number of steps from each seed, up to depth. seeds: (seed, node).
+def layers(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, depth): the least number of steps in either direction from each seed, up to depth. pairs: a, b; seeds: (seed, node).
 
     Each step joins the frontier only; what was visited is left out by an anti join.
     """
     seen = frontier = seeds.select("seed", "node", F.lit(0).alias("depth"))
-    steps = edges.select("src", "dst").distinct()
+    steps = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")).distinct()
     for d in range(1, depth + 1):
         new = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
         frontier = checkpointed(new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
@@ -40,27 +44,23 @@ def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reach(edges: DataFrame, seeds: DataFrame, confidence: bool = False) -> DataFrame:
-    """Every node that the seeds (node) reach; with confidence, the least product-free minimum along the best path.
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(subject, node, depth, confidence): every node that each subject reaches along edges (src, dst, confidence).
 
-    edges: src, dst and, with confidence, confidence. Stops when a round changes nothing.
+    Breadth first: a node's depth is that of the round that reaches it, its confidence the best of the paths of that
+    length, a path's being the least of its edges. Stops when a round finds nothing new. seeds: subjects.
     """
-    if not confidence:
-        seen = frontier = seeds.select("node").distinct()
-        while True:
-            new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-            frontier = checkpointed(new.join(seen, "node", "left_anti"))
-            if frontier.isEmpty():
-                return seen
-            seen = checkpointed(seen.union(frontier))
-    best = seeds.select("node", F.lit(1.0).alias("confidence")).distinct()
+    seen = frontier = seeds.select("subject", F.col("subject").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
+    steps = edges.groupBy("src", "dst").agg(F.max("confidence").alias("own"))
+    depth = 0
     while True:
-        e = edges.select("src", "dst", F.col("confidence").alias("own"))
-        step = best.join(e, best["node"] == e["src"]).select(F.col("dst").alias("node"), F.least("confidence", "own").alias("confidence"))
-        new = checkpointed(best.union(step).groupBy("node").agg(F.max("confidence").alias("confidence")))
-        if new.exceptAll(best).isEmpty():
-            return new
-        best = new
+        depth += 1
+        step = frontier.join(steps, frontier["node"] == steps["src"]).select("subject", F.col("dst").alias("node"), F.least("confidence", "own").alias("confidence"))
+        new = step.groupBy("subject", "node").agg(F.lit(depth).alias("depth"), F.max("confidence").alias("confidence"))
+        frontier = checkpointed(new.join(seen.select("subject", "node"), ["subject", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = checkpointed(seen.unionByName(frontier))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,29 +85,51 @@ def modularity(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.crossJoin(k).select((F.col("w") / F.col("m") - F.col("k2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): label propagation with modularity gain, nodes of alternate parity moving in turn.
+def moved(pairs: DataFrame, k: DataFrame, m2: float) -> DataFrame:
+    """(node, community) after moves between neighbouring communities, until a round no longer gains modularity.
 
-    Every round is a few joins on the edge table; each node moves to the neighbouring community of the largest
-    gain k_in - k_node * k_community / 2m, if that beats its own; ties go to the least community.
+    In a round the nodes of one half (by a hash of node and round) move at once, each to the neighbouring community of the largest
+    gain k_in - k_node * k_community / 2m; ties go to the least community. pairs may hold loops, which stay within.
     """
-    both = checkpointed(pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").union(pairs.select("b", "a", "weight")))
-    k = checkpointed(both.groupBy("node").agg(F.sum("weight").alias("k")))
-    m2 = k.agg(F.sum("k")).first()[0] or 1.0
+    both = checkpointed(pairs.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").union(pairs.where("a <> b").select("b", "a", "weight")))
     labels = k.select("node", F.col("node").alias("community"), "k")
-    for r in range(rounds):
+    best_value, still, r = modularity(pairs, labels).first()[0] or 0.0, 0, 0
+    while still < 2:
         total = labels.groupBy("community").agg(F.sum("k").alias("total"))
         other = labels.select(F.col("node").alias("other"), "community")
         links = both.join(other, "other").groupBy("node", "community").agg(F.sum("weight").alias("own_in"))
-        links = links.unionByName(labels.select("node", "community", F.lit(0).alias("own_in"))).groupBy("node", "community").agg(F.sum("own_in").alias("own_in"))
-        mine = labels.select("node", "k", F.col("community").alias("now"))
-        options = links.join(mine, "node").join(total, "community")
+        links = links.unionByName(labels.select("node", "community", F.lit(0).cast("long").alias("own_in"))).groupBy("node", "community").agg(F.sum("own_in").alias("own_in"))
+        options = links.join(labels.select("node", "k", F.col("community").alias("now")), "node").join(total, "community")
         gain = F.col("own_in") - F.col("k") * (F.col("total") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0)) / m2
-        best = options.withColumn("gain", F.round(gain, 9)).groupBy("node", "k", "now").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        new = checkpointed(best.select("node", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), "k"))
-        still = new.join(labels.select("node", F.col("community").alias("was")), "node").where("community <> was").isEmpty()
-        labels = new
-        if still and r > 0:
-            break
+        best = options.withColumn("loss", -F.round(gain, 9)).groupBy("node", "k", "now").agg(F.min_by("community", F.struct("loss", "community")).alias("best"))
+        mine = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        new = checkpointed(best.select("node", F.when(mine, F.col("best")).otherwise(F.col("now")).alias("community"), "k"))
+        value = modularity(pairs, new).first()[0] or 0.0
+        if value > best_value + 1e-9:
+            labels, best_value, still = new, value, 0
+        else:
+            still += 1
+        r += 1
     return labels.select("node", "community")
+
+
+def communities(pairs: DataFrame) -> DataFrame:
+    """(node, community) of weighted pairs (a, b, weight), level by level.
+
+    Nodes move between communities as long as that gains modularity (see moved), then each community becomes one node, its
+    inner weight a loop, and moves again; it ends when a level moves nothing. A community is named by its least member.
+    """
+    pairs = checkpointed(pairs.select("a", "b", F.col("weight").cast("long").alias("weight")))
+    k = degrees(pairs).select("node", F.col("strength").alias("k"))
+    m2 = float(k.agg(F.sum("k")).first()[0] or 1)
+    member = checkpointed(k.select("node", F.col("node").alias("community")))
+    while True:
+        step = checkpointed(moved(pairs, k, m2))
+        if step.where("node <> community").isEmpty():
+            break
+        member = checkpointed(member.join(step.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")))
+        a, b = step.select(F.col("node").alias("a"), F.col("community").alias("ca")), step.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+        pairs = checkpointed(pairs.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        k = checkpointed(k.join(step, "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")))
+    least = member.groupBy("community").agg(F.min("node").alias("name"))
+    return member.join(least, "community").select("node", F.col("name").alias("community"))

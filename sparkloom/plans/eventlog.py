@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log
+from ..operators.graph import checkpointed
 from ..registry import query
 from ..sources.tables import table
 
@@ -18,13 +19,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAYLOAD_SQL = "event_id || '|' || event_type || '|' || props"
 CHAIN_SQL = f"""digests AS (SELECT event_id, user_id, sha256({PAYLOAD_SQL}) AS digest, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
-  linked AS (SELECT event_id, user_id, sequence, digest, coalesce(lag(digest) OVER (PARTITION BY user_id ORDER BY sequence), '') AS previous_hash FROM digests)"""
+  chained AS (SELECT event_id, user_id, sequence, NULL::VARCHAR AS previous_hash, sha256('|' || digest) AS event_hash FROM digests WHERE sequence = 1
+    UNION ALL SELECT d.event_id, d.user_id, d.sequence, c.event_hash, sha256(c.event_hash || '|' || d.digest) FROM chained c JOIN digests d ON d.user_id = c.user_id AND d.sequence = c.sequence + 1)"""
 
 
-@query(f"WITH {CHAIN_SQL} SELECT event_id, user_id, sequence, previous_hash, sha256(previous_hash || '|' || digest) AS event_hash FROM linked")
+def payload():
+    return F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT * FROM chained")
 def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
-    return log.chain(events(spark, sf_dir), ["user_id"], ["event_id"], payload).select("event_id", "user_id", "sequence", "previous_hash", "event_hash")
+    """Every event's hash, which covers its predecessor's hash and so the whole log before it."""
+    return log.chain(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props"), ["user_id"], ["event_id"], payload()).select("event_id", "user_id", "sequence", "previous_hash", "event_hash")
 
 
 LATEST_SQL = "latest AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props, count(*) AS events FROM events GROUP BY 1)"
@@ -66,25 +72,16 @@ def efficiency_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("user_id", r("purchase", "view", "purchases_per_view"), r("error", "events", "error_rate"), r("click", "view", "clicks_per_view"))
 
 
-KINDS_SQL = ", ".join(f"'{k}'" for k in KINDS)
+STATUS_SQL = "CASE WHEN count_if(event_type = '{k}') > 1 THEN 1.0 WHEN count_if(event_type = '{k}') = 1 THEN 0.5 ELSE 0.0 END"
 
 
-@query(f"SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type IN ({KINDS_SQL})) AS stages, floor(100 * count(DISTINCT event_type) FILTER (WHERE event_type IN ({KINDS_SQL})) / {len(KINDS)} + 0.5)::BIGINT AS completeness FROM events GROUP BY 1")
+@query("SELECT user_id, " + ", ".join(f"{STATUS_SQL.format(k=k)}::DOUBLE AS {k}" for k in KINDS) + ", round((" + " + ".join(STATUS_SQL.format(k=k) for k in KINDS) + f")::DOUBLE / {len(KINDS)}, 3) AS overall FROM events GROUP BY 1")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the stages each user has reached, in whole per cent: flags are combined before the exchange."""
-    seen = [F.max((F.col("event_type") == k).cast("long")) for k in KINDS]
-    stages = sum(seen[1:], seen[0])
-    return events(spark, sf_dir).groupBy("user_id").agg(stages.alias("stages")).select("user_id", "stages", F.floor(100 * F.col("stages") / len(KINDS) + 0.5).alias("completeness"))
-
-
-LADDER_SQL = "CASE WHEN errors * 4 > events THEN 'repair' WHEN purchases > 0 AND errors = 0 THEN 'done' WHEN purchases > 0 THEN 'review' WHEN clicks > 0 THEN 'advance' WHEN views > 0 THEN 'engage' ELSE 'start' END"
-
-
-@query(f"SELECT user_id, events, {LADDER_SQL} AS action FROM (SELECT user_id, count(*) AS events, count_if(event_type = 'purchase') AS purchases, count_if(event_type = 'view') AS views, count_if(event_type = 'error') AS errors, count_if(event_type = 'click') AS clicks FROM events GROUP BY 1)")
-def next_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first step of the ladder that fits each user's counters."""
-    n = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), *[F.count_if(F.col("event_type") == k).alias(f"{k}s") for k in ("purchase", "view", "error", "click")])
-    return n.select("user_id", "events", F.expr(LADDER_SQL).alias("action"))
+    """Each stage of each user: 1 where it is complete (twice), 0.5 where it is partial (once), else 0; and their mean to three digits."""
+    n = events(spark, sf_dir).groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in KINDS])
+    part = lambda k: F.when(F.col(k) > 1, 1.0).when(F.col(k) == 1, 0.5).otherwise(0.0)
+    total = sum((part(k) for k in KINDS[1:]), part(KINDS[0]))
+    return n.select("user_id", *[part(k).alias(k) for k in KINDS], F.round(total / len(KINDS), 3).alias("overall"))
 
 
 @query("SELECT event_type, count(*) AS events, sum(k)::BIGINT AS total, count(DISTINCT k) AS different FROM (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1")
@@ -94,11 +91,21 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_k.groupBy("event_type").agg(F.sum("n").alias("events"), F.sum(F.col("k") * F.col("n")).alias("total"), F.count("k").alias("different"))
 
 
-@query(f"""WITH {CHAIN_SQL}, hashed AS (SELECT *, sha256(previous_hash || '|' || digest) AS event_hash FROM linked) SELECT user_id, count(*) AS events, 0::BIGINT AS broken, arg_max(event_hash, sequence) AS head FROM hashed GROUP BY 1""")
+def tampered(chained: DataFrame) -> DataFrame:
+    """A chain with faults in every log of a user_id divisible by 5: its third event says another type, its fifth is lost."""
+    hit = F.col("user_id") % 5 == 0
+    said = F.when(hit & (F.col("sequence") == 3), F.lit("forged")).otherwise(F.col("event_type"))
+    return chained.where(~(hit & (F.col("sequence") == 5))).withColumn("event_type", said)
+
+
+@query(f"""WITH RECURSIVE {CHAIN_SQL}, longest AS (SELECT user_id, max(sequence) AS n, arg_max(event_hash, sequence) AS head FROM chained GROUP BY 1)
+  SELECT user_id, n - (user_id % 5 = 0 AND n >= 5)::INT AS events, (user_id % 5 = 0 AND n >= 3)::INT::BIGINT AS forged, (user_id % 5 = 0 AND n >= 6)::INT::BIGINT AS gaps, (user_id % 5 = 0 AND n >= 6)::INT::BIGINT AS broken_links FROM longest""")
 def chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chain's length, broken links and head, from a chain that is written and verified again."""
-    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
-    chained = log.chain(events(spark, sf_dir), ["user_id"], ["event_id"], payload)
-    broken = log.verify_chain(chained, ["user_id"], payload).groupBy("user_id").agg(F.count(F.lit(1)).alias("broken"))
-    heads = chained.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max_by("event_hash", "sequence").alias("head"))
-    return heads.join(broken, "user_id", "left").select("user_id", "events", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"), "head")
+    """Chains are written, some of them with planted faults, read again and followed: what the audit finds of each log."""
+    source = events(spark, sf_dir).select("event_id", "user_id", "event_type", "props")
+    kept = checkpointed(tampered(log.chain(source, ["user_id"], ["event_id"], payload())))
+    found = log.verify_chain(kept, ["user_id"], "event_id", payload())
+    count = lambda reason, name: F.count_if(F.col("reason") == reason).alias(name)
+    faults = found.groupBy("user_id").agg(count("hash-mismatch", "forged"), count("sequence-gap", "gaps"), count("link-mismatch", "broken_links"))
+    logs = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    return logs.join(faults, "user_id", "left").select("user_id", "events", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("forged", "gaps", "broken_links")])

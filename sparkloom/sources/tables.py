@@ -52,15 +52,3 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES_SQL = """edges AS (SELECT 'customer:' || o_custkey AS src, 'supplier:' || l_suppkey AS dst, l_returnflag AS type, c_nationkey AS src_file, s_nationkey AS dst_file
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
-
-
-def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between different files (nations) that are stronger than the average one: src, dst, n."""
-    counts = edges(spark, sf_dir).groupBy(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    mean = counts.agg(F.avg("n").alias("mean"))
-    return counts.crossJoin(F.broadcast(mean)).where("src <> dst AND n > 1.15 * mean").select("src", "dst", "n")  # the mean is one row
-
-
-FILE_EDGES_SQL = EDGES_SQL + """,
-  counts AS (SELECT src_file AS src, dst_file AS dst, count(*) AS n FROM edges GROUP BY ALL),
-  strong AS (SELECT src, dst, n FROM counts WHERE src <> dst AND n > 1.15 * (SELECT avg(n) FROM counts))"""
