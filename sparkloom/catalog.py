@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import census, eventlog, governance, graphs, inventory, journeys, profile  # noqa: F401  (they register their queries)
+from .plans import census, eventlog, governance, graphs, inventory, journeys, profile, scans, scores  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

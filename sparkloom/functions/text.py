@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .census import SECRET_LINE, redact, redact_sql
+from .census import LANGUAGES, SECRET_LINE, redact, redact_sql
 
 SECRET = SECRET_LINE
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-#: Line rules: name, severity, pattern. Patterns use no look-around, so other engines can run them.
+#: name, category, pattern over a line. Patterns use no look-around, so other engines can run them.
 LINE_RULES = [
-    ("secret-assignment", "high", SECRET),
-    ("email", "medium", EMAIL),
-    ("ipv4", "low", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("todo", "low", r"TODO|FIXME|HACK"),
-    ("plain-http", "medium", r"http://"),
-    ("localhost", "medium", r"localhost|127\.0\.0\.1"),
-    ("license-note", "low", r"(?i)licen[sc]e"),
+    ("console-log", "engineering", r"\bconsole\.log\s*\("),
+    ("debugger", "engineering", r"\bdebugger\b"),
+    ("dom-html-injection", "security", r"\b(?:innerHTML|outerHTML)\b|v-html\s*="),
+    ("url-token", "security", r"(?i)[?&](?:access_token|sessionId|ticket|token)="),
+    ("browser-storage-auth", "security", r"\b(?:document\.cookie|localStorage|sessionStorage)\b"),
+    ("non-prod-url", "engineering", r"(?i)\b(?:127\.0\.0\.1|localhost|qa-|sit-|test-|uat-)"),
+    ("todo-marker", "engineering", r"\b(?:FIXME|HACK|TODO)\b"),
 ]
-EXTENSIONS = {"js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "vue": "Vue", "py": "Python", "go": "Go", "java": "Java", "rs": "Rust", "rb": "Ruby", "html": "HTML", "css": "CSS", "json": "JSON", "md": "Markdown", "txt": "Text", "yml": "YAML", "yaml": "YAML", "sql": "SQL"}
+#: name, severity, most findings that count, pattern.
+QUALITY_RULES = [
+    ("debugger", "high", 200, r"\bdebugger\b"),
+    ("console-log", "medium", 300, r"\bconsole\.(?:debug|info|log)\s*\("),
+    ("todo", "low", 200, r"(?i)\b(?:fixme|hack|todo)\b"),
+    ("html-injection", "high", 200, r"\bv-html\b|dangerouslySetInnerHTML|innerHTML"),
+    ("client-storage", "medium", 300, r"\b(?:document\.cookie|localStorage|sessionStorage)\b"),
+    ("runtime-address", "medium", 200, r"(?i)localhost|127\.0\.0\.1|https?://[^'\"`\s]+"),
+]
+#: Weight and pattern of the lines that say most about what a file is for.
+SIGNALS = [
+    (9, r"\b(?:activated|computed|created|data|methods|mounted|name|props|setup|watch)\s*[:(]"), (9, r"\b(?:async\s+)?(?:function\s+)?[A-Za-z_$][A-Za-z0-9_$]*\s*\([^)]*\)\s*\{"), (9, r"\b(?:export\s+(?:class|const|default|function)|module\.exports)\b"),
+    (8, r"\b(?:this\.)?\$(?:confirm|emit|message|route|router|store)\b"), (8, r"\b(?:await|\.(?:catch|finally|then)\s*\()"), (8, r"(?:@change|@click|@submit|:data-source|:loading|:value|v-for|v-if|v-show)\b"), (7, r"\b(?:case|else if|if|switch)\s*[({]"),
+    (7, r"(?i)\b(?:approve|create|delete|download|fetch|load|query|reject|request|save|submit|update|upload)[A-Za-z0-9_$]*\s*\("), (6, r"[\x{3400}-\x{9fff}]{2,}"), (5, r"^\s*(?:class|const|interface|let|type|var)\s+[A-Za-z_$]"), (4, r"<[A-Z][A-Za-z0-9._-]*"),
+]
+EXTENSIONS = {x: language for language, e in LANGUAGES.items() for x in e.split()}
 
 
 def file_name(path: Column) -> Column:
@@ -49,29 +63,6 @@ def within(path: Column, root: Column) -> Column:
     return (root == ".") | (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 
 
-def language(path: Column) -> Column:
-    """By extension, 'Text' by default."""
-    table = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
-    return F.coalesce(F.element_at(table, extension(path)), F.lit("Text"))
-
-
-def category(path: Column) -> Column:
-    """The first of the ordered categories that fits; the order is part of the meaning."""
-    name, ext, low = F.lower(file_name(path)), extension(path), F.lower(path)
-    return (
-        F.when(name.rlike(r"^\.env|secret|credential|\.pem$|\.key$"), "protected")
-        .when(name.isin("package.json", "pom.xml", "go.mod", "cargo.toml", "build.gradle", "pyproject.toml", "requirements.txt", "gemfile", "composer.json") | ext.isin("csproj"), "manifest")
-        .when(ext.isin("png", "jpg", "svg", "woff", "ico"), "resource")
-        .when(ext.isin("md", "txt", "rst") | low.rlike("(^|/)docs?/"), "docs")
-        .when(name.rlike("config|rc$") | ext.isin("yml", "yaml", "toml", "ini"), "config")
-        .when(low.rlike(r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\."), "test")
-        .when(ext.isin("json", "csv", "sql"), "data")
-        .when(ext.isin("sh", "ps1", "bat"), "script")
-        .when(ext.isin("html", "css", "vue"), "markup")
-        .otherwise("source")
-    )
-
-
 def fnv1a32(text: Column) -> Column:
     """FNV-1a over code points, 32 bits, as base 36 in lower case. Arithmetic is done in long, so nothing overflows."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
@@ -85,8 +76,13 @@ def redacted(line: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words of three letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3))
+    """Lower-case runs of ASCII letters, digits and Han signs; a capital after a small letter or digit begins a new one."""
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.regexp_replace(F.lower(apart), "[^a-z0-9\u4e00-\u9fff]+", " "), " "), lambda t: t != "")
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower(regexp_replace(coalesce({x}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9\u4e00-\u9fff]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
 def js_round(x: Column) -> Column:
@@ -117,18 +113,6 @@ def directory_sql(x: str) -> str:
     return f"coalesce(nullif(regexp_extract({x}, '^(.*)/[^/]*$', 1), ''), '.')"
 
 
-def language_sql(ext: str) -> str:
-    return f"CASE {ext} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " ELSE 'Text' END"
-
-
-def category_sql(path: str, name: str, ext: str) -> str:
-    return rf"""CASE WHEN regexp_matches({name}, '^\.env|secret|credential|\.pem$|\.key$') THEN 'protected'
-      WHEN {name} IN ('package.json', 'pom.xml', 'go.mod', 'cargo.toml', 'build.gradle', 'pyproject.toml', 'requirements.txt', 'gemfile', 'composer.json') OR {ext} = 'csproj' THEN 'manifest'
-      WHEN {ext} IN ('png', 'jpg', 'svg', 'woff', 'ico') THEN 'resource' WHEN {ext} IN ('md', 'txt', 'rst') OR regexp_matches(lower({path}), '(^|/)docs?/') THEN 'docs'
-      WHEN regexp_matches({name}, 'config|rc$') OR {ext} IN ('yml', 'yaml', 'toml', 'ini') THEN 'config' WHEN regexp_matches(lower({path}), '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.') THEN 'test'
-      WHEN {ext} IN ('json', 'csv', 'sql') THEN 'data' WHEN {ext} IN ('sh', 'ps1', 'bat') THEN 'script' WHEN {ext} IN ('html', 'css', 'vue') THEN 'markup' ELSE 'source' END"""
-
-
 def normal_path_sql(x: str) -> str:
     p = f"regexp_replace(trim({x}), '\\\\', '/', 'g')"
     p = f"regexp_replace(regexp_replace({p}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '')"

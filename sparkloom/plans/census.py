@@ -27,7 +27,12 @@ def inventory(df):
 
 def inventory_sql() -> str:
     """The same, as the table inv of DuckDB SQL."""
-    return rf"""{repos.FILES_SQL}, named AS (SELECT *, {C.NAME_SQL} AS name, {C.EXT_SQL} AS ext FROM repo_files),
+    return f"{repos.FILES_SQL}, {inventory_ctes()}"
+
+
+def inventory_ctes() -> str:
+    """inv from a table repo_files."""
+    return rf"""named AS (SELECT *, {C.NAME_SQL} AS name, {C.EXT_SQL} AS ext FROM repo_files),
   seen AS (SELECT *, {C.textual_sql(False)} AS textual, {C.ladder(C.REASONS, "", False)} AS reason FROM named),
   inv AS (SELECT file_id, repo, path, name, ext, text, strlen(text)::BIGINT AS bytes, CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split_regex(text, '\r?\n')) END::BIGINT AS lines, sha1(text) AS hash,
     {C.ladder(C.language_rules(), "Text", False)} AS language, {C.ladder(C.CATEGORIES, "source", False)} AS category, NOT textual AS is_binary, strlen(text) > {C.LARGE} AS large,

@@ -6,30 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import rel
 from ..registry import query
-from ..sources.tables import FILES_SQL, LINES_SQL, file_lines, files, table
+from ..sources.tables import FILES_SQL, files, table
+from . import census
 
-LARGE = 100_000
 MAX_FILES = 16_000
-SNIPPET, BUDGET = 2_600, 180_000
-EXAMPLES, CAP = 3, 5
 
 
 def inventory(df: DataFrame) -> DataFrame:
     """The inventory columns of (file_id, path, text)."""
-    size, binary = F.octet_length("text").cast("long"), F.contains("text", F.lit("\u0000"))
-    return df.select(
-        "file_id", "path", size.alias("bytes"), F.size(F.split("text", "\r?\n")).cast("long").alias("lines"), F.sha2("text", 256).alias("hash"),
-        X.language(F.col("path")).alias("language"), X.category(F.col("path")).alias("category"), binary.alias("binary"), (size > LARGE).alias("large"), (~binary & (size <= LARGE)).alias("content_analyzable"),
-    )
+    seen = census.inventory(df.withColumn("repo", F.lit("")))
+    return seen.select("file_id", "path", "bytes", "lines", "hash", "language", "category", F.col("is_binary").alias("binary"), "large", "content_analyzable")
 
 
-INVENTORY_SQL = FILES_SQL + rf""",
-  named AS (SELECT *, {X.extension_sql("path")} AS ext, {X.file_name_sql("path")} AS name FROM files),
-  inventory AS (SELECT file_id, path, strlen(text)::BIGINT AS bytes, len(string_split_regex(text, '\r?\n'))::BIGINT AS lines, sha256(text) AS hash,
-    {X.language_sql("ext")} AS language, {X.category_sql("path", "name", "ext")} AS category, contains(text, chr(0)) AS "binary", strlen(text) > {LARGE} AS large,
-    NOT contains(text, chr(0)) AND strlen(text) <= {LARGE} AS content_analyzable FROM named)"""
+INVENTORY_SQL = f"""{FILES_SQL}, repo_files AS (SELECT *, '' AS repo FROM files), {census.inventory_ctes()},
+  inventory AS (SELECT file_id, path, bytes, lines, hash, language, category, is_binary AS "binary", large, content_analyzable FROM inv)"""
 
 
 @query(f"WITH {INVENTORY_SQL} SELECT * FROM inventory")
@@ -54,61 +45,6 @@ def inventory_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).agg(n.alias("found"), F.least(n, F.lit(MAX_FILES)).cast("long").alias("kept"), (n > MAX_FILES).alias("truncated"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.rule_scan(file_lines(spark, sf_dir), F.col("content"), X.LINE_RULES)
-
-
-FINDINGS_SQL = LINES_SQL + ", findings AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS rule, '{s}' AS severity FROM lines WHERE regexp_matches(content, '{p}')" for n, s, p in X.LINE_RULES) + ")"
-RULES_SQL = ", ".join(f"('{n}', '{s}')" for n, s, _ in X.LINE_RULES)
-
-
-@query(f"WITH {FINDINGS_SQL} SELECT r.rule, r.severity, count(f.rule) AS matches, count(DISTINCT file_id) AS files FROM (VALUES {RULES_SQL}) r(rule, severity) LEFT JOIN findings f ON f.rule = r.rule GROUP BY ALL")
-def line_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matching lines and files of each rule, zeros included: per file first, so what is distinct needs one more exchange of small rows."""
-    per_file = findings(spark, sf_dir).groupBy("rule", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_file.groupBy("rule").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("files"))
-    return rel.with_all_rules(counts, X.LINE_RULES, ["matches", "files"])
-
-
-@query(f"WITH {FINDINGS_SQL} SELECT rule, path, line, {X.redacted_sql('content')} AS content FROM findings QUALIFY row_number() OVER (PARTITION BY rule ORDER BY path, file_id, line) <= {EXAMPLES}")
-def line_rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first matches of each rule, a report; Spark limits each rule before the exchange."""
-    return rel.first_n(findings(spark, sf_dir), ["rule"], [F.col("path"), F.col("file_id"), F.col("line")], EXAMPLES).select("rule", "path", "line", X.redacted(F.col("content")).alias("content"))
-
-
-@query(f"WITH {FINDINGS_SQL} SELECT rule, directory, least(n, {CAP})::BIGINT AS findings, n > {CAP} AS capped FROM (SELECT rule, {X.directory_sql('path')} AS directory, count(*) AS n FROM findings GROUP BY ALL)")
-def capped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by rule and directory where each rule stops at CAP: the count alone decides, so no ranking is needed."""
-    n = findings(spark, sf_dir).groupBy("rule", X.directory(F.col("path")).alias("directory")).agg(F.count(F.lit(1)).alias("n"))
-    return n.select("rule", "directory", F.least("n", F.lit(CAP)).cast("long").alias("findings"), (F.col("n") > CAP).alias("capped"))
-
-
-@query(f"WITH {LINES_SQL} SELECT file_id, line, {X.redacted_sql('content')} AS content FROM lines WHERE regexp_matches(content, '{X.SECRET}')")
-def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_lines(spark, sf_dir).where(F.col("content").rlike(X.SECRET)).select("file_id", "line", X.redacted(F.col("content")).alias("content"))
-
-
-@query(f"""SELECT source, doc_id, chars, before FROM (SELECT source, doc_id, least(length(text), {SNIPPET})::BIGINT AS chars,
-  coalesce(sum(least(length(text), {SNIPPET})) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before < {BUDGET}""")
-def snippet_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each source whose snippets fit a budget of characters; only lengths reach the exchange."""
-    chars = F.least(F.length("text"), F.lit(SNIPPET)).cast("long")
-    sized = table(spark, sf_dir, "documents").select("source", "doc_id", chars.alias("chars"))
-    return sized.withColumn("before", rel.running_before(F.col("chars"), ["source"], [F.col("doc_id")])).where(F.col("before") < BUDGET)
-
-
-def category_rank():
-    return F.when(F.col("category") == "manifest", 100).when(F.col("category") == "source", 80).when(F.col("category") == "config", 60).when(F.col("category") == "markup", 50).when(F.col("category") == "docs", 40).otherwise(10)
-
-
-@query(f"""WITH {INVENTORY_SQL} SELECT path, file_id, score FROM (SELECT path, file_id, (CASE category WHEN 'manifest' THEN 100 WHEN 'source' THEN 80 WHEN 'config' THEN 60 WHEN 'markup' THEN 50 WHEN 'docs' THEN 40 ELSE 10 END
-  + least(lines, 40) - len(string_split(path, '/')))::BIGINT AS score FROM inventory WHERE content_analyzable) ORDER BY score DESC, path, file_id LIMIT 60""")
-def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 60 files to read first: by category, then lines, then depth."""
-    score = (category_rank() + F.least(F.col("lines"), F.lit(40)) - F.size(F.split("path", "/"))).cast("long")
-    return inventory(files(spark, sf_dir)).where("content_analyzable").select("path", "file_id", score.alias("score")).orderBy(F.desc("score"), "path", "file_id").limit(60)
-
-
 @query("SELECT lower(tag) AS tag, count(*) AS refs, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag FROM pages) GROUP BY 1")
 def html_component_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9-]*)"), 1)).alias("tag"))
@@ -170,20 +106,6 @@ def route_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_host.groupBy("family").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("hosts"))
 
 
-SIGNALS = [("question", r"\?$"), ("number", "[0-9]"), ("address", "https?://"), ("bullet", r"^\s*[-*] "), ("separator", r"\|"), ("shout", "^[A-Z ]{8,}$")]
-
-
-def matches(pattern: str):
-    return lambda x: x.rlike(pattern)
-
-
-@query(f"WITH {LINES_SQL} SELECT file_id, {', '.join(f'count(*) FILTER (WHERE regexp_matches(content, {chr(39)}{p}{chr(39)})) AS {n}' for n, p in SIGNALS)}, count(*) AS lines FROM lines GROUP BY 1")
-def semantic_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of each file, counted over its array of lines: no row a line, no exchange."""
-    parts = F.split("text", "\r?\n")
-    return files(spark, sf_dir).select("file_id", *[F.size(F.filter(parts, matches(p))).cast("long").alias(n) for n, p in SIGNALS], F.size(parts).cast("long").alias("lines"))
-
-
 def snapshot(df: DataFrame, levels: tuple[int, ...] = (5, 2, 0)) -> DataFrame:
     """One row (files, snapshot_id) for (path, hash): a tree of hashes, so no string grows beyond a bucket of it."""
     node = df.select(F.sha2("path", 256).alias("key"), F.sha2(F.concat("path", F.lit(":"), "hash"), 256).alias("h"), F.lit(1).cast("long").alias("n"))

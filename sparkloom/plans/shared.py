@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import ORACLES, QUERIES
+from ..sources.repos import FILES_SQL
 
 
 class Base(NamedTuple):
@@ -19,6 +20,8 @@ class Base(NamedTuple):
     sql: str
 
 
+#: SQL that many bases begin with.
+STARTS = [FILES_SQL]
 #: What is written alike in both, and how either says it. @set(x): the different values, sorted and joined.
 SPARK = [(r"regexp_matches\(", "regexp_like("), (r"~\(", "regexp_like("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"array_join(array_sort(collect_set(\1)), ',')"), (r"@starts\(", "startswith("), (r"@g\b", ""), (r"@div\b", "div"), (r"@split\(", "split("), (r"@at\(", "try_element_at("), (r"@size\(", "size("), (r"@sha\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"sha2(\1, 256)")]
 DUCK = [(r"~\(", "regexp_matches("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')"), (r"@starts\(", "starts_with("), (r"@g\b", ", 'g'"), (r"@div\b", "//"), (r"@split\(", "string_split("), (r"@at\(", "list_extract("), (r"@size\(", "len("), (r"@sha\(", "sha256(")]
@@ -36,6 +39,19 @@ def is_cte(text: str) -> bool:
     return re.match(r"\s*\w+ AS (MATERIALIZED )?\(", text) is not None
 
 
+def tables(bases: list[Base]) -> list[str]:
+    """The bases' SQL; what several begin with is said once."""
+    out: list[str] = []
+    for b in bases:
+        own = b.sql
+        for first in STARTS:
+            if own.startswith(first) and any(first in x for x in out):
+                own = own[len(first) :].removeprefix(", ")
+        if own:
+            out.append(own)
+    return out
+
+
 def define(name: str, bases: list[Base], text: str, doc: str) -> Callable:
     """Registers a query whose SQL is text: `a AS (...), b AS (...) SELECT ...` or `SELECT ...`."""
     if name in QUERIES:
@@ -50,5 +66,5 @@ def define(name: str, bases: list[Base], text: str, doc: str) -> Callable:
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
     said = spoken(text, False)
-    ORACLES[name] = "WITH " + ", ".join(b.sql for b in bases) + (", " if is_cte(said) else " ") + said
+    ORACLES[name] = "WITH " + ", ".join(tables(bases)) + (", " if is_cte(said) else " ") + said
     return run

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import quoted
 from .tables import table
 
 REPOS = 12
@@ -21,6 +22,11 @@ NAMES = [
     "Dockerfile", "docker-compose.yml", "nginx.conf", ".gitlab-ci.yml", "build.yaml", "Jenkinsfile", "deploy.sh", ".env.local", "jest.config.js", "playwright.config.ts", "tsconfig.json", "component.spec.tsx", "api.test.ts", "README.md",
     "schema.sql", "secrets.json", "id_rsa", "Main.java", "server.go", "app.py", "requirements.txt", "Makefile", "style.scss", "UserList.svelte", "routes.js", "index.html",
 ]
+#: Two of these lines end the text of each file, so that rules over code find something in it.
+CODE = [
+    "import Home from './Home'", "import { load, save as store } from '@/api/client'", "const x = require('../store/session')", "export default function App() {", "export const loadUser = async () => {", "console.log('x')", "debugger", "el.innerHTML = value", "fetch('/a?token=1')", "localStorage.getItem('t')",
+    "const base = 'http://localhost:3000'", "// TODO fix this", "await load()", "app.get('/users', list)", "router.post('/orders', add)", "<UserCard v-if=\"x\" />", "@GetMapping(\"/orders\")", "password = two words", "class Order extends Base {", "def main():", "func Serve() {", "{ path: '/home', component: Home }", "this.$router.push('/done')", "type Props = {}", "import './style.css'", "from app.models import User", "if (ready) {", "<Route path=\"/cart\" element={Cart} />", "name: Alice",
+]
 PACKAGES = [
     "vue", "vue-router", "react", "react-dom", "next", "nuxt", "svelte", "@angular/core", "vite", "webpack", "express", "koa", "@nestjs/core", "spring-boot", "dubbo", "fastapi", "django", "gin-gonic", "rails", "laravel",
     "lodash", "axios", "rollup", "single-spa", "parcel", "typescript", "jest", "eslint", "pinia", "hessian", "microsoft.aspnetcore", "@vue/compiler", "esbuild-loader", "left-pad", "requests", "tokio",
@@ -33,7 +39,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def pick_sql(values: list[str], index: str) -> str:
-    return f"([{', '.join(repr(v) for v in values)}])[({index}) % {len(values)} + 1]"
+    return f"([{', '.join(quoted(v) for v in values)}])[({index}) % {len(values)} + 1]"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +47,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(f"doc_id % {REPOS}").alias("r"), F.expr(f"doc_id div {REPOS}").alias("k"))
     deep = F.when(F.col("k") < 143, "").otherwise(F.concat(F.lit("p"), F.expr("k div 143").cast("string"), F.lit("/")))
     path = F.concat(pick(DIRS, F.col("r") * 7 + F.col("k") % 11), F.lit("/"), deep, pick(NAMES, F.col("r") * 5 + F.col("k") % 13))
-    return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"), path.alias("path"), "text")
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("repo"), F.col("r").cast("string")).alias("repo"), path.alias("path"), F.concat_ws("\n", "text", pick(CODE, F.col("r") * 3 + F.col("k")), pick(CODE, F.col("k") * 7 + F.col("r"))).alias("text"))
 
 
 FILES_SQL = f"""repo_files AS (SELECT doc_id AS file_id, 'repo' || (doc_id % {REPOS}) AS repo, {pick_sql(DIRS, f"(doc_id % {REPOS}) * 7 + (doc_id // {REPOS}) % 11")} || '/' ||
-  CASE WHEN doc_id // {REPOS} < 143 THEN '' ELSE 'p' || (doc_id // {REPOS} // 143) || '/' END || {pick_sql(NAMES, f"(doc_id % {REPOS}) * 5 + (doc_id // {REPOS}) % 13")} AS path, text FROM documents)"""
+  CASE WHEN doc_id // {REPOS} < 143 THEN '' ELSE 'p' || (doc_id // {REPOS} // 143) || '/' END || {pick_sql(NAMES, f"(doc_id % {REPOS}) * 5 + (doc_id // {REPOS}) % 13")} AS path, concat_ws(chr(10), text, {pick_sql(CODE, f"(doc_id % {REPOS}) * 3 + (doc_id // {REPOS})")}, {pick_sql(CODE, f"(doc_id // {REPOS}) * 7 + (doc_id % {REPOS})")}) AS text FROM documents)"""
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
