@@ -24,7 +24,7 @@ class Base(NamedTuple):
 STARTS = [FILES_SQL]
 #: What is written alike in both, and how either says it. @set(x): the different values, sorted and joined.
 SPARK = [(r"regexp_matches\(", "regexp_like("), (r"~\(", "regexp_like("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"array_join(array_sort(collect_set(\1)), ',')"), (r"@starts\(", "startswith("), (r"@g\b", ""), (r"@div\b", "div"), (r"@split\(", "split("), (r"@at\(", "try_element_at("), (r"@size\(", "size("), (r"@sha\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"sha2(\1, 256)")]
-DUCK = [(r"~\(", "regexp_matches("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')"), (r"@starts\(", "starts_with("), (r"@g\b", ", 'g'"), (r"@div\b", "//"), (r"@split\(", "string_split("), (r"@at\(", "list_extract("), (r"@size\(", "len("), (r"@sha\(", "sha256(")]
+DUCK = [(r"\bcount_if\(", "count(*) FILTER (WHERE "), (r"~\(", "regexp_matches("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')"), (r"@starts\(", "starts_with("), (r"@g\b", ", 'g'"), (r"@div\b", "//"), (r"@split\(", "string_split("), (r"@at\(", "list_extract("), (r"@size\(", "len("), (r"@sha\(", "sha256(")]
 
 
 def spoken(text: str, spark: bool) -> str:
