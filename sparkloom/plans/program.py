@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import graph
 from ..registry import query
+from ..sources import repos
+from . import scans
 from .census import FILES
 from .profile import DEPS
 from .scans import CODE_FACTS, IMPORTS, PATHS, RESOLVED, TRIED
-from .shared import define, spoken, tables
+from .shared import STARTS, Base, define, spoken, tables
 
 NEEDS = [CODE_FACTS, IMPORTS, TRIED, PATHS, FILES, DEPS]
 TEST, SOURCE = P.PREDICATES["test_file"].sql("path"), P.PREDICATES["source_file"].sql("path")
@@ -45,46 +47,63 @@ EDGES = f"""{NODES}, symbols AS (SELECT DISTINCT repo, path, name FROM facts WHE
     UNION ALL SELECT DISTINCT r.repo, 'route:' || r.repo || ':' || r.name, 'module:' || s.repo || ':' || s.path, 'routes-to', 0.7::DOUBLE FROM facts r JOIN stems s ON r.repo = s.repo AND s.kind = 'page' AND s.stem = lower(regexp_extract(r.name, '^/?([^/]*)', 1)) WHERE r.fact = 'route'
     UNION ALL SELECT t.repo, 'module:' || t.repo || ':' || t.path, 'module:' || m.repo || ':' || m.path, 'tests', 0.7::DOUBLE FROM stems t JOIN stems m ON t.repo = m.repo AND t.stem = m.stem AND t.kind = 'test' AND m.kind IN ('layout', 'module', 'page')),
   edges AS (SELECT DISTINCT repo, src, dst, type, confidence, 'edge:' || substr(@sha(src || '|' || type || '|' || dst), 1, 16) AS edge_id FROM ends WHERE src <> dst)"""
-define("program_nodes", NEEDS, f"{NODES} SELECT repo, node_id, kind, label, source_path, confidence FROM nodes", "Nodes of the program graph: modules, pages, tests, symbols, packages, routes, endpoints, states, and what isn't resolved.")
-define("program_edges", NEEDS, f"{EDGES} SELECT repo, edge_id, src, dst, type, confidence FROM edges", "Typed edges of the program graph.")
-define("program_graph_issues", NEEDS, f"""{EDGES} SELECT edge_id AS subject, 'EDGE_FROM_UNKNOWN' AS issue FROM edges e ANTI JOIN nodes n ON e.src = n.node_id UNION ALL SELECT edge_id, 'EDGE_TO_UNKNOWN' FROM edges e ANTI JOIN nodes n ON e.dst = n.node_id
+
+
+def built(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """A table of text over the facts. What its parts read again and again is written once, and so is the table."""
+    found = graph.checkpointed(scans.facts(scans.code_lines(repos.files(spark, sf_dir))))
+    found.createOrReplaceTempView("facts")
+    own = graph.checkpointed(scans.scripts(found))
+    own.createOrReplaceTempView("imports")
+    graph.checkpointed(scans.candidates(own)).createOrReplaceTempView("tried")
+    for b in (PATHS, FILES, DEPS):
+        b.frame(spark, sf_dir).createOrReplaceTempView(b.name)
+    return graph.checkpointed(spark.sql(f"WITH {spoken(text, True)} SELECT * FROM {name}"))
+
+
+BASE_SQL = ", ".join(tables(NEEDS))
+NODES_BASE = Base("nodes", lambda s, d: built(s, d, NODES, "nodes"), f"{BASE_SQL}, {spoken(NODES, False)}")
+EDGES_BASE = Base("edges", lambda s, d: built(s, d, EDGES, "edges"), f"{BASE_SQL}, {spoken(EDGES, False)}")
+STARTS.insert(0, NODES_BASE.sql)
+BOTH = [NODES_BASE, EDGES_BASE]
+define("program_nodes", [NODES_BASE], "SELECT repo, node_id, kind, label, source_path, confidence FROM nodes", "Nodes of the program graph: modules, pages, tests, symbols, packages, routes, endpoints, states, and what isn't resolved.")
+define("program_edges", [EDGES_BASE], "SELECT repo, edge_id, src, dst, type, confidence FROM edges", "Typed edges of the program graph.")
+define("program_graph_issues", BOTH, """SELECT edge_id AS subject, 'EDGE_FROM_UNKNOWN' AS issue FROM edges e ANTI JOIN nodes n ON e.src = n.node_id UNION ALL SELECT edge_id, 'EDGE_TO_UNKNOWN' FROM edges e ANTI JOIN nodes n ON e.dst = n.node_id
   UNION ALL SELECT node_id, 'NODE_ID_DUPLICATE' FROM nodes GROUP BY node_id HAVING count(*) > 1 UNION ALL SELECT edge_id, 'EDGE_ID_DUPLICATE' FROM edges GROUP BY edge_id HAVING count(*) > 1""", "Broken references and repeated ids of the program graph.")
-define("program_metrics", NEEDS, f"""{EDGES}, n AS (SELECT repo, count(*) AS nodes, count_if(kind IN ('layout', 'module', 'page', 'test')) AS modules, count_if(kind = 'symbol') AS symbols, count_if(kind = 'unresolved-module') AS unresolved FROM nodes GROUP BY repo), e AS (SELECT repo, count(*) AS edges, count_if(type = 'imports') AS imports FROM edges GROUP BY repo)
+define("program_metrics", BOTH, """n AS (SELECT repo, count(*) AS nodes, count_if(kind IN ('layout', 'module', 'page', 'test')) AS modules, count_if(kind = 'symbol') AS symbols, count_if(kind = 'unresolved-module') AS unresolved FROM nodes GROUP BY repo), e AS (SELECT repo, count(*) AS edges, count_if(type = 'imports') AS imports FROM edges GROUP BY repo)
   SELECT n.repo, nodes::BIGINT AS nodes, modules::BIGINT AS modules, symbols::BIGINT AS symbols, unresolved::BIGINT AS unresolved, coalesce(edges, 0)::BIGINT AS edges, coalesce(imports, 0)::BIGINT AS imports, CASE WHEN coalesce(imports, 0) > 0 THEN round(1 - unresolved::DOUBLE / imports, 6) ELSE 1.0::DOUBLE END AS resolution FROM n LEFT JOIN e ON n.repo = e.repo""", "Counts of each repository's graph and the share of its imports that resolve.")
-define("program_diagnostics", NEEDS, f"{NODES} SELECT 'diagnostic:' || substr(@sha(node_id), 1, 16) AS diagnostic_id, repo, 'unresolved-import' AS kind, 'warning' AS severity, label AS message FROM nodes WHERE kind = 'unresolved-module'", "A diagnostic for each import that doesn't resolve.")
-define("program_kinds", NEEDS, f"{EDGES} SELECT 'node' AS part, kind, count(*)::BIGINT AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', type, count(*)::BIGINT FROM edges GROUP BY type", "Nodes by kind and edges by type.")
-ELIGIBLE = f"{EDGES}, selected AS (SELECT repo, node_id, source_path FROM nodes WHERE kind NOT IN ('external-package', 'unresolved-module') AND source_path IS NOT NULL), eligible AS (SELECT e.repo, e.edge_id, e.src, e.dst, e.type FROM edges e SEMI JOIN selected a ON e.src = a.node_id SEMI JOIN selected b ON e.dst = b.node_id)"
-define("community_edges", NEEDS, f"{ELIGIBLE} SELECT edge_id, src, dst, type FROM eligible", "Edges whose both ends may be in a community.")
-define("community_graph", NEEDS, f"{ELIGIBLE} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::BIGINT AS weight FROM eligible GROUP BY least(src, dst), greatest(src, dst)", "The undirected graph that communities are found in: each edge adds 1 to its pair.")
+define("program_diagnostics", [NODES_BASE], "SELECT 'diagnostic:' || substr(@sha(node_id), 1, 16) AS diagnostic_id, repo, 'unresolved-import' AS kind, 'warning' AS severity, label AS message FROM nodes WHERE kind = 'unresolved-module'", "A diagnostic for each import that doesn't resolve.")
+define("program_kinds", BOTH, "SELECT 'node' AS part, kind, count(*)::BIGINT AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', type, count(*)::BIGINT FROM edges GROUP BY type", "Nodes by kind and edges by type.")
+ELIGIBLE = "selected AS (SELECT repo, node_id, source_path FROM nodes WHERE kind NOT IN ('external-package', 'unresolved-module') AND source_path IS NOT NULL), eligible AS (SELECT e.repo, e.edge_id, e.src, e.dst, e.type FROM edges e SEMI JOIN selected a ON e.src = a.node_id SEMI JOIN selected b ON e.dst = b.node_id)"
+define("community_edges", BOTH, f"{ELIGIBLE} SELECT edge_id, src, dst, type FROM eligible", "Edges whose both ends may be in a community.")
+define("community_graph", BOTH, f"{ELIGIBLE} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::BIGINT AS weight FROM eligible GROUP BY least(src, dst), greatest(src, dst)", "The undirected graph that communities are found in: each edge adds 1 to its pair.")
 GROUPED = f"{ELIGIBLE}, homes AS (SELECT node_id, repo, source_path, 'community:' || repo || ':' || coalesce(nullif(regexp_extract(source_path, '^([^/]+)/', 1), ''), '.') AS community FROM selected)"
-define("community_edge_split", NEEDS, f"""{GROUPED} SELECT e.edge_id, e.type, a.community AS from_community, b.community AS to_community, a.community <> b.community AS crosses FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id""", "Edges inside communities (top directories) and across them.")
-define("community_entries", NEEDS, f"""{GROUPED}, placed AS (SELECT e.src, e.dst, a.community AS ca, b.community AS cb FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id), boundary AS (SELECT ca AS community, src AS node_id FROM placed WHERE ca <> cb UNION SELECT cb, dst FROM placed WHERE ca <> cb),
+define("community_edge_split", BOTH, f"""{GROUPED} SELECT e.edge_id, e.type, a.community AS from_community, b.community AS to_community, a.community <> b.community AS crosses FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id""", "Edges inside communities (top directories) and across them.")
+define("community_entries", BOTH, f"""{GROUPED}, placed AS (SELECT e.src, e.dst, a.community AS ca, b.community AS cb FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id), boundary AS (SELECT ca AS community, src AS node_id FROM placed WHERE ca <> cb UNION SELECT cb, dst FROM placed WHERE ca <> cb),
   incoming AS (SELECT dst AS node_id FROM placed WHERE ca = cb), entries AS (SELECT community, node_id FROM boundary UNION SELECT h.community, h.node_id FROM homes h ANTI JOIN incoming i ON h.node_id = i.node_id WHERE @starts(h.node_id, 'module:')) SELECT community, node_id FROM entries""", "Entry entities of each community: what lies at its boundary, and modules that nothing inside leads to.")
-define("community_members", NEEDS, f"{GROUPED}, m AS (SELECT community, count(*) AS members, count(DISTINCT source_path) AS files FROM homes GROUP BY community), i AS (SELECT a.community, count(*) AS inside FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id AND a.community = b.community GROUP BY a.community) SELECT m.community, members::BIGINT AS members, files::BIGINT AS files, coalesce(inside, 0)::BIGINT AS internal_edges FROM m LEFT JOIN i ON m.community = i.community", "Members, files and inner edges of each community.")
-define("unassigned_nodes", NEEDS, f"{ELIGIBLE} SELECT n.node_id, n.kind FROM nodes n ANTI JOIN selected s ON n.node_id = s.node_id", "Nodes that no community takes.")
-OWNED = f"{EDGES}, owner AS (SELECT e.dst AS node_id, max(e.src) AS owner FROM edges e WHERE e.type = 'declares' GROUP BY e.dst), owners AS (SELECT n.node_id, coalesce(o.owner, CASE WHEN n.source_path IS NOT NULL THEN 'module:' || n.repo || ':' || n.source_path ELSE n.node_id END) AS owner FROM nodes n LEFT JOIN owner o ON n.node_id = o.node_id)"
-define("entity_owners", NEEDS, f"{OWNED} SELECT node_id, owner FROM owners", "The module that owns each entity: that which declares it, else the one of its path.")
-define("program_file_relations", NEEDS, f"""{OWNED} SELECT a.owner AS from_module, b.owner AS to_module, e.type, count(*)::BIGINT AS n FROM edges e JOIN owners a ON e.src = a.node_id JOIN owners b ON e.dst = b.node_id WHERE a.owner <> b.owner GROUP BY a.owner, b.owner, e.type""", "Edges at the grain of modules, by type.")
+define("community_members", BOTH, f"{GROUPED}, m AS (SELECT community, count(*) AS members, count(DISTINCT source_path) AS files FROM homes GROUP BY community), i AS (SELECT a.community, count(*) AS inside FROM eligible e JOIN homes a ON e.src = a.node_id JOIN homes b ON e.dst = b.node_id AND a.community = b.community GROUP BY a.community) SELECT m.community, members::BIGINT AS members, files::BIGINT AS files, coalesce(inside, 0)::BIGINT AS internal_edges FROM m LEFT JOIN i ON m.community = i.community", "Members, files and inner edges of each community.")
+define("unassigned_nodes", BOTH, f"{ELIGIBLE} SELECT n.node_id, n.kind FROM nodes n ANTI JOIN selected s ON n.node_id = s.node_id", "Nodes that no community takes.")
+OWNED = "owner AS (SELECT e.dst AS node_id, max(e.src) AS owner FROM edges e WHERE e.type = 'declares' GROUP BY e.dst), owners AS (SELECT n.node_id, coalesce(o.owner, CASE WHEN n.source_path IS NOT NULL THEN 'module:' || n.repo || ':' || n.source_path ELSE n.node_id END) AS owner FROM nodes n LEFT JOIN owner o ON n.node_id = o.node_id)"
+define("entity_owners", BOTH, f"{OWNED} SELECT node_id, owner FROM owners", "The module that owns each entity: that which declares it, else the one of its path.")
+define("program_file_relations", BOTH, f"""{OWNED} SELECT a.owner AS from_module, b.owner AS to_module, e.type, count(*)::BIGINT AS n FROM edges e JOIN owners a ON e.src = a.node_id JOIN owners b ON e.dst = b.node_id WHERE a.owner <> b.owner GROUP BY a.owner, b.owner, e.type""", "Edges at the grain of modules, by type.")
 DEPEND = "type IN ('imports', 'renders-component', 'composes', 'routes-to', 'requests')"
-define("product_entities", NEEDS, f"{NODES} SELECT node_id AS entity_id, CASE kind WHEN 'page' THEN 'surface' WHEN 'route' THEN 'surface' WHEN 'endpoint' THEN 'contract' WHEN 'state' THEN 'state' ELSE 'code' END AS kind, label, least(confidence, 1.0::DOUBLE) AS confidence FROM nodes", "Entities of the application map.")
-define("product_relations", NEEDS, f"{EDGES} SELECT 'relation:' || substr(edge_id, 6) AS relation_id, src, dst, type, confidence FROM edges WHERE {DEPEND}", "Relations of the application map.")
-define("changed_entities", NEEDS, f"{NODES}, changed AS (SELECT DISTINCT repo, path FROM repo_files WHERE file_id % 10 = 0) SELECT n.node_id, n.kind FROM nodes n SEMI JOIN changed c ON n.repo = c.repo AND n.source_path = c.path", "Entities in the files of a change set (every tenth file): what is invalidated.")
-define("state_systems", NEEDS, "SELECT repo, name AS system, count(DISTINCT path)::BIGINT AS files, @set(path) AS paths FROM facts WHERE fact = 'state' GROUP BY repo, name", "Stores and the files that use them.")
-define("flow_candidates", NEEDS, """routes AS (SELECT DISTINCT repo, path, '/' || coalesce(nullif(regexp_extract(name, '^/?([^/]+(?:/[^/]+)?)', 1), ''), '') AS family FROM facts WHERE fact = 'route' AND name NOT IN ('', '/', '*')) SELECT repo, family, count(*)::BIGINT AS routes, @set(path) AS paths FROM routes GROUP BY repo, family""", "Families of routes, candidates for core flows.")
-define("route_ambiguities", NEEDS, """routes AS (SELECT DISTINCT repo, path, '/' || coalesce(nullif(regexp_extract(name, '^/?([^/]+(?:/[^/]+)?)', 1), ''), '') AS family FROM facts WHERE fact IN ('route', 'navigation') AND name NOT IN ('', '/', '*')) SELECT repo, family, count(DISTINCT path)::BIGINT AS hypotheses FROM routes GROUP BY repo, family HAVING count(DISTINCT path) >= 2""", "Families that two files or more claim: ambiguous.")
+define("product_entities", [NODES_BASE], "SELECT node_id AS entity_id, CASE kind WHEN 'page' THEN 'surface' WHEN 'route' THEN 'surface' WHEN 'endpoint' THEN 'contract' WHEN 'state' THEN 'state' ELSE 'code' END AS kind, label, least(confidence, 1.0::DOUBLE) AS confidence FROM nodes", "Entities of the application map.")
+define("product_relations", [EDGES_BASE], f"SELECT 'relation:' || substr(edge_id, 6) AS relation_id, src, dst, type, confidence FROM edges WHERE {DEPEND}", "Relations of the application map.")
+define("changed_entities", [NODES_BASE, FILES], "changed AS (SELECT DISTINCT repo, path FROM repo_files WHERE file_id % 10 = 0) SELECT n.node_id, n.kind FROM nodes n SEMI JOIN changed c ON n.repo = c.repo AND n.source_path = c.path", "Entities in the files of a change set (every tenth file): what is invalidated.")
+define("state_systems", [CODE_FACTS], "SELECT repo, name AS system, count(DISTINCT path)::BIGINT AS files, @set(path) AS paths FROM facts WHERE fact = 'state' GROUP BY repo, name", "Stores and the files that use them.")
+define("flow_candidates", [CODE_FACTS], """routes AS (SELECT DISTINCT repo, path, '/' || coalesce(nullif(regexp_extract(name, '^/?([^/]+(?:/[^/]+)?)', 1), ''), '') AS family FROM facts WHERE fact = 'route' AND name NOT IN ('', '/', '*')) SELECT repo, family, count(*)::BIGINT AS routes, @set(path) AS paths FROM routes GROUP BY repo, family""", "Families of routes, candidates for core flows.")
+define("route_ambiguities", [CODE_FACTS], """routes AS (SELECT DISTINCT repo, path, '/' || coalesce(nullif(regexp_extract(name, '^/?([^/]+(?:/[^/]+)?)', 1), ''), '') AS family FROM facts WHERE fact IN ('route', 'navigation') AND name NOT IN ('', '/', '*')) SELECT repo, family, count(DISTINCT path)::BIGINT AS hypotheses FROM routes GROUP BY repo, family HAVING count(DISTINCT path) >= 2""", "Families that two files or more claim: ambiguous.")
 
 
 def _change_sql() -> str:
-    return f"""WITH RECURSIVE {', '.join(tables(NEEDS))}, {spoken(EDGES, False)}, back AS (SELECT DISTINCT dst AS src, src AS dst FROM edges), subjects AS (SELECT DISTINCT node_id FROM nodes WHERE kind IN ('page', 'endpoint', 'state')),
+    return f"""WITH RECURSIVE {EDGES_BASE.sql}, back AS (SELECT DISTINCT dst AS src, src AS dst FROM edges), subjects AS (SELECT DISTINCT node_id FROM nodes WHERE kind IN ('page', 'endpoint', 'state')),
       walk AS (SELECT node_id AS subject, node_id AS node FROM subjects UNION SELECT subject, dst FROM walk JOIN back ON node = src) SELECT subject, count(*) - 1 AS affected FROM walk GROUP BY 1"""
 
 
 @query(_change_sql())
 def change_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entities a change of each page, endpoint and state reaches, over any number of steps of the program graph."""
-    for b in NEEDS:
-        b.frame(spark, sf_dir).createOrReplaceTempView(b.name)
-    ends = spark.sql(f"WITH {spoken(EDGES, True)} SELECT DISTINCT dst AS src, src AS dst, 1.0D AS confidence FROM edges")
-    seeds = spark.sql(f"WITH {spoken(NODES, True)} SELECT DISTINCT node_id AS subject FROM nodes WHERE kind IN ('page', 'endpoint', 'state')")
+    ends = EDGES_BASE.frame(spark, sf_dir).selectExpr("dst AS src", "src AS dst", "1.0D AS confidence").distinct()
+    seeds = NODES_BASE.frame(spark, sf_dir).where("kind IN ('page', 'endpoint', 'state')").select(F.col("node_id").alias("subject")).distinct()
     reached = graph.closure(graph.checkpointed(ends), seeds)
     return reached.groupBy("subject").agg((F.count(F.lit(1)) - 1).alias("affected"))

@@ -9,7 +9,7 @@ from ..functions import census as C
 from ..functions import text as X
 from ..functions.rules import any_of, quoted
 from ..sources import repos
-from .shared import Base, define
+from .shared import STARTS, Base, define
 
 EXAMPLES = 80
 
@@ -106,6 +106,7 @@ def facts(df: DataFrame) -> DataFrame:
 
 
 FACTS_SQL = CODE.sql + ", facts AS (" + " UNION ".join(f"SELECT repo, file_id, path, line, content, '{t}' AS fact, '{k}' AS kind, regexp_extract(content, {quoted(p)}, 1) AS name FROM code WHERE {w} AND regexp_matches(content, {quoted(p)})" for t, k, w, p in FACTS) + ")"
+STARTS.insert(0, FACTS_SQL)
 CODE_FACTS = Base("facts", lambda s, d: facts(code_lines(repos.files(s, d))), FACTS_SQL)
 define("code_facts", [CODE_FACTS], f"SELECT file_id, path, line, fact, kind, name, 'fallback-lexer' AS source_kind, 0.7::DOUBLE AS confidence FROM facts", "Imports, symbols, exports, routes, components, annotations, entry points, requests, states and navigation in code, by patterns; a fact of a line counts once.")
 define("code_fact_counts", [CODE_FACTS], f"SELECT repo, fact, kind, count(*)::BIGINT AS facts, count(DISTINCT file_id)::BIGINT AS files FROM facts GROUP BY repo, fact, kind", "Facts of each repository by kind.")
@@ -129,9 +130,13 @@ TARGET_SQL = f"""CASE WHEN starts_with(name, '.') THEN {X.normal_path_sql(X.dire
   WHEN regexp_matches(name, '^[@~]/') THEN {X.normal_path_sql("coalesce(nullif(regexp_extract(path, '^((?:.*?/)?src)/', 1), ''), 'src') || '/' || regexp_replace(name, '^[@~]/', '')")} END"""
 
 
+def scripts(found: DataFrame) -> DataFrame:
+    """repo, path, name: different imports of scripts among facts."""
+    return found.where("fact = 'import' AND kind IN ('js-import', 'js-dynamic-import')").select("repo", "path", "name").distinct()
+
+
 def imports(spark, sf_dir: str) -> DataFrame:
-    """repo, path, name: different imports of scripts."""
-    return facts(code_lines(repos.files(spark, sf_dir))).where("fact = 'import' AND kind IN ('js-import', 'js-dynamic-import')").select("repo", "path", "name").distinct()
+    return scripts(facts(code_lines(repos.files(spark, sf_dir))))
 
 
 IMPORTS = Base("imports", imports, f"{FACTS_SQL}, imports AS (SELECT DISTINCT repo, path, name FROM facts WHERE fact = 'import' AND kind IN ('js-import', 'js-dynamic-import'))")
