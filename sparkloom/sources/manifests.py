@@ -1,4 +1,4 @@
-"""Dependencies in package manifests, and facts in source code by patterns. All are Column expressions over (path, text)."""
+"""Dependencies in package manifests, as Column expressions over (path, text)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import rel
 
 SCOPES = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
 
@@ -41,8 +40,8 @@ DIALECTS = {
     "cargo.toml": lambda t: F.concat(pairs(section(t, "dependencies"), TOML, "dependencies"), pairs(section(t, "dev-dependencies"), TOML, "devDependencies")),
     "pyproject.toml": lambda t: F.concat(pairs(section(t, r"tool\.poetry\.dependencies"), TOML, "dependencies"), pairs(section(t, "project"), r"""(?m)^\s*"([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([^"\n]*)",?\s*$""", "dependencies")),
     "pom.xml": lambda t: F.transform(F.arrays_zip(F.xpath(t, F.lit("//*[local-name()='dependency']/*[local-name()='artifactId']/text()")).alias("n"), F.xpath(t, F.lit("//*[local-name()='dependency']/*[local-name()='version']/text()")).alias("v")), lambda x: F.struct(x["n"].alias("name"), x["v"].alias("version"), F.lit("dependencies").alias("scope"))),
-    "build.gradle": lambda t: pairs(t, r"""(?m)^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation)\s*\(?\s*['"]([^'":]+:[^'":]+):([^'"]+)['"]""", "dependencies"),
-    "gemfile": lambda t: pairs(t, r"""(?m)^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?""", "dependencies"),
+    "build.gradle": lambda t: pairs(t, r"""(?m)^[ \t]*[a-zA-Z]*(?:[aA]pi|[cC]ompile|[cC]ompileOnly|[iI]mplementation|[kK]apt|[pP]rocessor|[rR]untime|[rR]untimeOnly)[ (]+["']([^"':\s]+:[^"':\s]+):([^"'\s]+)["']""", "dependencies"),
+    "gemfile": lambda t: pairs(t, r"""(?m)^[ \t]*gem[ (]+["']([A-Za-z0-9_.-]+)["'](?:[ \t]*,[ \t]*["']([^"'\n]+)["'])?""", "dependencies"),
     "csproj": lambda t: pairs(t, r"""<PackageReference\s+Include="([^"]+)"\s+Version="([^"]+)\"""", "dependencies"),
 }
 
@@ -54,39 +53,3 @@ def dependencies(files: DataFrame) -> DataFrame:
     some = files.select("path", "text", kind.alias("type")).where(F.col("type").isin(list(DIALECTS)))
     found = reduce(lambda c, k: c.when(F.col("type") == k, DIALECTS[k](F.col("text"))), DIALECTS, F.when(F.lit(False), F.array().cast("array<struct<name:string,version:string,scope:string>>")))
     return some.select("path", "type", F.explode(found).alias("d")).select("path", "type", "d.name", F.coalesce("d.version", F.lit("")).alias("version"), "d.scope")
-
-
-#: kind, pattern whose group 1 is the name. Read line by line; 'fallback' facts of confidence 0.7.
-FACTS = [
-    ("import", r"""^\s*import\b[^'"]*['"]([^'"]+)['"]"""),
-    ("import", r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)"""),
-    ("import", r"^\s*(?:from\s+([A-Za-z0-9_.]+)\s+import)\b"),
-    ("export", r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|def|func|fn)\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+)?(?:abstract\s+)?(?:class|interface|struct)\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("route", r"""\b(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['"]([^'"]+)['"]"""),
-    ("route", r"""<Route[^>]*\bpath=["']([^"']+)["']"""),
-    ("component", r"<([A-Z][A-Za-z0-9]*)[\s/>]"),
-    ("annotation", r"^\s*@([A-Za-z][A-Za-z0-9_.]*)"),
-]
-
-
-def code_facts(files: DataFrame) -> DataFrame:
-    """path, line, kind, name of what patterns find in files (path, text); repeated facts of a line count once."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), named(k)) for k, p in FACTS]))
-    return rel.lines(files, ["path"]).select("path", "line", F.explode(F.array_distinct(found)).alias("f")).where(F.col("f.name") != "").select("path", "line", "f.kind", "f.name")
-
-
-def named(kind: str):
-    return lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
-
-
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """path, name, target: relative imports resolved to the first existing of the path itself, with an extension, or its index file."""
-    imports = code_facts(files).where("kind = 'import'").select("path", "name").distinct()
-    target = X.normal_path(F.concat(X.directory(F.col("path")), F.lit("/"), F.col("name")))
-    target = F.regexp_replace(target, r"^\./", "")
-    ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".vue", "/index.ts", "/index.tsx", "/index.js"]
-    tried = imports.where(F.startswith("name", F.lit("."))).select("path", "name", F.posexplode(F.array(*[F.concat(target, F.lit(e)) for e in ends])).alias("rank", "target"))
-    hit = tried.join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "name").agg(F.min_by("target", "rank").alias("target"))
-    return imports.join(hit, ["path", "name"], "left").select("path", "name", "target")

@@ -33,14 +33,6 @@ def test_dependencies(spark):
     }
 
 
-def test_facts(spark):
-    files = [("src/a.ts", "import x from './b'\nimport { y } from 'lib'\nexport function go() {}\n"), ("src/b.ts", "export class B {}\nrouter.get('/users', go)\n"), ("src/ui/index.tsx", "import B from '../b'\n<Panel title='x' />\n<Route path=\"/home\" />")]
-    df = spark.createDataFrame(files, "path string, text string")
-    got = {tuple(r) for r in manifests.code_facts(df).collect()}
-    assert {("src/a.ts", 1, "import", "./b"), ("src/a.ts", 3, "export", "go"), ("src/a.ts", 3, "function", "go"), ("src/b.ts", 1, "class", "B"), ("src/b.ts", 2, "route", "/users"), ("src/ui/index.tsx", 2, "component", "Panel"), ("src/ui/index.tsx", 3, "route", "/home")} <= got
-    assert {tuple(r) for r in manifests.resolved_imports(df).collect()} == {("src/a.ts", "./b", "src/b.ts"), ("src/a.ts", "lib", None), ("src/ui/index.tsx", "../b", "src/b.ts")}
-
-
 def test_paths(spark):
     cases = {"./a/../b//c": "b/c", "http://h/x?q#f": "h/x", "a\\b\\": "a/b", "": ".", "/": "."}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
@@ -77,3 +69,38 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = replay.write_view(replay.first_arrivals(replay.event_stream(spark, folder)), str(tmp_path / "out"), str(tmp_path / "c3"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_stores(spark, tmp_path):
+    import json
+
+    from sparkloom.sources import stores
+
+    rows = [("c1", "a", 0.5), ("c2", None, 1.0), ("c3", "é\n\"x\"", 0.0)]
+    df = spark.createDataFrame(rows, "claim_id string, object string, confidence double")
+    path = str(tmp_path / "claims")
+    stores.write_lines(df, path)
+    assert sorted(map(tuple, stores.read_lines(spark, path, df.schema).collect())) == sorted(rows)
+    stores.append_lines(df, path)
+    assert stores.read_lines(spark, path, df.schema).count() == 6
+    bad = df.where("confidence > 0.9").selectExpr("claim_id AS subject", "'TOO_SURE' AS issue")
+    try:
+        stores.write_checked(df, [bad], str(tmp_path / "never"))
+        raise AssertionError
+    except stores.Invalid as e:
+        assert "TOO_SURE" in str(e)
+    assert not (tmp_path / "never").exists()
+    folder = tmp_path / "analyses"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"id": "1", "claim": "x"}, {"id": "2", "claim": "y"}], indent=2))
+    (folder / "b.json").write_text(json.dumps({"id": "3", "claim": None}, indent=2))
+    assert sorted(r["id"] for r in stores.read_documents(spark, str(folder), "id string, claim string").collect()) == ["1", "2", "3"]
+    assert stores.first_existing(spark, [str(tmp_path / "no"), path]) == path
+
+
+def test_embedded_json(spark):
+    from sparkloom.sources import stores
+
+    cases = {"a ```json\n{\"k\": 1}\n``` b": '{"k": 1}', "x [1, 2] y": "[1, 2]", "x {\"k\": {\"j\": 2}} y": '{"k": {"j": 2}}', "nothing": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", stores.embedded_json(F.col("t")).alias("j")).collect()
+    assert {r["t"]: r["j"] for r in rows} == cases
