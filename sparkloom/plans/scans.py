@@ -95,7 +95,10 @@ FACTS = [
     ("export", "default", JS, f"\\bexport\\s+default\\s+(?:async\\s+)?(?:class|function)\\s+({NAME})"), ("export", "named", JS, f"\\bexport\\s+(?:async\\s+)?(?:class|const|function|interface|let|type|var)\\s+({NAME})"),
     ("route", "js-route-config", JS, f"\\bpath\\s*:\\s*{Q}([^\"'']+){Q}"), ("route", "jsx-route", JS, f"<Route\\b[^>]*\\bpath={Q}([^\"'']+){Q}"), ("route", "http-route", JS, f"\\b(?:app|router)\\.(?:delete|get|patch|post|put)\\(\\s*{Q}([^\"'']+){Q}"), ("route", "java-annotation", "ext = 'java'", f"^@(?:Delete|Get|Patch|Post|Put|Request)Mapping\\([^\"'']*{Q}([^\"'']+){Q}"),
     ("component", "tag", JS, "<([A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*-[a-z0-9-]+)\\b"), ("annotation", "annotation", "ext IN ('java', 'py', 'ts')", "^@([A-Za-z_][A-Za-z0-9_.]*)"), ("entrypoint", "java-annotation", "ext = 'java'", f"^@({any_of('Component', 'Controller', 'DubboService', 'Repository', 'RestController', 'Service', 'SpringBootApplication', 'DeleteMapping', 'GetMapping', 'PatchMapping', 'PostMapping', 'PutMapping', 'RequestMapping')})\\b"),
-    ("navigation", "push", JS, f"\\$?router\\.(?:push|replace)\\({Q}([^\"'']+){Q}"), ("request", "call", JS, f"\\b(?:fetch|request|axios|http)(?:\\.(?:delete|get|patch|post|put))?\\({Q}([^\"'']+){Q}"), ("state", "store", JS, f"\\b(?:useState|ref|reactive|defineStore)\\({Q}?({NAME})"),
+    ("navigation", "push", JS, f"\\$?router\\.(?:push|replace)\\({Q}([^\"'']+){Q}"), ("request", "call", JS, f"\\b(?:fetch|request|axios|http)(?:\\.(?:delete|get|patch|post|put))?\\({Q}([^\"'']+){Q}"), ("bootstrap", "react-root", JS, "\\bcreateRoot\\(([^)]*)\\)"), ("bootstrap", "vue-app", JS, f"\\bcreateApp\\(({NAME})"), ("ui-element", "element", JS, "<(button|form|input|select|textarea)\\b"), ("ui-event", "handler", JS, "\\bon(Change|Click|Input|Submit)=\\{"), ("ui-event", "listener", JS, "@(change|click|input|submit)="),
+    ("feedback", "message", JS, "\\b(?:message|notification|toast)\\.(error|info|success|warning)\\("), ("feedback", "live-region", JS, f"\\b(?:aria-live|role)={Q}(alert|assertive|polite|status){Q}"), ("mutation", "setter", JS, "\\bset([A-Z][A-Za-z0-9]*)\\("), ("mutation", "commit", JS, f"\\b(?:commit|dispatch)\\({Q}([^\"'']+){Q}"),
+    ("guard", "route-guard", JS, "\\b(beforeEach|beforeEnter|requireAuth)\\b"), ("outcome", "navigate", JS, f"\\bnavigate\\({Q}([^\"'']+){Q}"), ("response", "await", JS, f"\\bawait\\s+({NAME})\\("), ("response", "then", JS, "\\.(catch|finally|then)\\("), ("wiring", "test", JS, f"\\b(?:describe|it|test)\\({Q}([^\"'']+){Q}"),
+    ("options-api", "block", JS, "^(computed|data|methods|props|watch)\\s*[:(]"), ("emit", "event", JS, f"\\$?\\bemit\\({Q}([^\"'']+){Q}"), ("directive", "vue", JS, "\\b(v-else-if|v-for|v-if|v-model|v-show)="), ("state", "store", JS, f"\\b(?:useState|ref|reactive|defineStore)\\({Q}?({NAME})"),
 ]
 
 
@@ -114,6 +117,22 @@ define("route_facts", [CODE_FACTS], f"""SELECT DISTINCT repo, path, line, kind,
 define("request_facts", [CODE_FACTS], f"""SELECT DISTINCT f.repo, f.path, f.line, f.name AS url, coalesce(nullif(upper(regexp_extract(f.content, '[.](get|post|put|patch|delete)[(]', 1)), ''), 'GET') AS method FROM facts f WHERE f.fact = 'request'""", "Requests with the method that the call names, GET otherwise.")
 define("import_packages", [CODE_FACTS], f"""seen AS (SELECT repo, name, CASE WHEN ~(name, '^([.]|/|@/|~/)') THEN 'internal' ELSE 'external' END AS origin, kind FROM facts WHERE fact = 'import')
   SELECT repo, origin, CASE WHEN origin = 'internal' THEN NULL WHEN @starts(name, '@') THEN regexp_extract(name, '^(@[^/]+/[^/]+)', 1) ELSE regexp_extract(name, '^([^/]+)', 1) END AS package, count(*)::BIGINT AS imports, count_if(kind = 'js-dynamic-import')::BIGINT AS dynamic FROM seen GROUP BY ALL""", "External packages that are imported, and the number of internal imports.")
+SEEN = {"entry": ["bootstrap", "route"], "action": ["ui-element", "ui-event"], "handler": ["symbol", "options-api"], "state": ["state", "mutation"], "request": ["request"], "response": ["response"], "feedback": ["feedback"], "outcome": ["navigation", "outcome", "emit"], "branch-failure": ["guard"]}
+define("ui_facts", [CODE_FACTS], "SELECT repo, path, line, fact, kind, name FROM facts WHERE fact IN ('bootstrap', 'directive', 'emit', 'feedback', 'guard', 'mutation', 'navigation', 'options-api', 'outcome', 'response', 'ui-element', 'ui-event', 'wiring')", "What user interfaces show: starts, elements, events, feedback, guards, mutations, responses and outcomes.")
+define("journey_evidence", [CODE_FACTS], f"""dims AS (SELECT * FROM (VALUES {', '.join(f'({quoted(d)}, {quoted(f)})' for d, fs in SEEN.items() for f in fs)}) d(dimension, fact)) SELECT f.repo, d.dimension, count(*)::BIGINT AS facts, count(DISTINCT f.path)::BIGINT AS files FROM facts f JOIN dims d ON f.fact = d.fact GROUP BY f.repo, d.dimension""", "Which closure dimensions the code of each repository has evidence for.")
+define("handler_bindings", [CODE_FACTS], "SELECT DISTINCT e.repo, e.path, e.line AS event_line, e.name AS event, s.name AS handler FROM facts e JOIN facts s ON e.file_id = s.file_id AND s.fact = 'symbol' AND s.kind = 'function' WHERE e.fact = 'ui-event'", "Events of an interface with the functions of the same file that may handle them.")
+define("request_dependants", [CODE_FACTS], "SELECT DISTINCT q.repo, q.path, q.name AS url, x.fact, x.name FROM facts q JOIN facts x ON q.file_id = x.file_id AND x.fact IN ('feedback', 'mutation', 'outcome', 'response') WHERE q.fact = 'request'", "What in the same file depends on a request: responses, mutations, feedback and outcomes.")
+KEYWORDS = ["and", "else", "false", "if", "in", "null", "of", "this", "true", "undefined"]
+
+
+def template_names(df: DataFrame) -> DataFrame:
+    """file_id, path, line, name: different identifiers in the expressions of directives, without keywords."""
+    said = F.array_join(F.regexp_extract_all("content", F.lit('(?:v-[a-z-]+|@[a-z]+|:[a-z-]+)="([^"]*)"'), F.lit(1)), " ")
+    names = F.array_distinct(F.filter(F.regexp_extract_all(said, F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)), lambda n: ~n.isin(KEYWORDS)))
+    return df.where(F.col("content").rlike('(?:v-[a-z-]+|@[a-z]+|:[a-z-]+)="')).select("file_id", "path", "line", F.explode(names).alias("name"))
+
+
+define("template_dependencies", [Base("named", lambda s, d: template_names(code_lines(repos.files(s, d))), f"""{CODE.sql}, named AS (SELECT DISTINCT file_id, path, line, unnest(list_filter(regexp_extract_all(array_to_string(regexp_extract_all(content, '(?:v-[a-z-]+|@[a-z]+|:[a-z-]+)="([^"]*)"', 1), ' '), '[A-Za-z_$][A-Za-z0-9_$]*'), lambda n: n NOT IN ({', '.join(map(quoted, KEYWORDS))}))) AS name FROM code)""")], "SELECT file_id, path, line, name FROM named", "Identifiers that templates depend on.")
 ENDS = ["", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue"]
 
 

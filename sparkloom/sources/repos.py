@@ -25,7 +25,7 @@ NAMES = [
 #: Two of these lines end the text of each file, so that rules over code find something in it.
 CODE = [
     "import Home from './Home'", "import { load, save as store } from '@/api/client'", "const x = require('../store/session')", "export default function App() {", "export const loadUser = async () => {", "console.log('x')", "debugger", "el.innerHTML = value", "fetch('/a?token=1')", "localStorage.getItem('t')",
-    "const base = 'http://localhost:3000'", "// TODO fix this", "await load()", "app.get('/users', list)", "router.post('/orders', add)", "<UserCard v-if=\"x\" />", "@GetMapping(\"/orders\")", "password = two words", "class Order extends Base {", "def main():", "func Serve() {", "{ path: '/home', component: Home }", "this.$router.push('/done')", "type Props = {}", "import './style.css'", "from app.models import User", "if (ready) {", "<Route path=\"/cart\" element={Cart} />", "name: Alice", "import axios from 'axios'", "const n = ref(count)", "import { ref } from '@vue/runtime-core/dist'",
+    "const base = 'http://localhost:3000'", "// TODO fix this", "await load()", "app.get('/users', list)", "router.post('/orders', add)", "<UserCard v-if=\"x\" />", "@GetMapping(\"/orders\")", "password = two words", "class Order extends Base {", "def main():", "func Serve() {", "{ path: '/home', component: Home }", "this.$router.push('/done')", "type Props = {}", "import './style.css'", "from app.models import User", "if (ready) {", "<Route path=\"/cart\" element={Cart} />", "name: Alice", "createRoot(node).render(<App />)", "createApp(App).mount('#app')", "<button onClick={save}>Save</button>", "<form @submit=\"send\">", "toast.success('saved')", "<p role=\"alert\" v-if=\"failed && reason\">", "setTotal(total + 1)", "store.commit('cart/add')", "router.beforeEach(check)", "navigate('/done')", "describe('cart', () => {", "const rows = await loadRows()", "emit('saved')", "computed: {", "import axios from 'axios'", "const n = ref(count)", "import { ref } from '@vue/runtime-core/dist'",
 ]
 PACKAGES = [
     "vue", "vue-router", "react", "react-dom", "next", "nuxt", "svelte", "@angular/core", "vite", "webpack", "express", "koa", "@nestjs/core", "spring-boot", "dubbo", "fastapi", "django", "gin-gonic", "rails", "laravel",
