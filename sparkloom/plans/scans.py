@@ -110,6 +110,7 @@ def facts(df: DataFrame) -> DataFrame:
 
 FACTS_SQL = CODE.sql + ", facts AS (" + " UNION ".join(f"SELECT repo, file_id, path, line, content, '{t}' AS fact, '{k}' AS kind, regexp_extract(content, {quoted(p)}, 1) AS name FROM code WHERE {w} AND regexp_matches(content, {quoted(p)})" for t, k, w, p in FACTS) + ")"
 STARTS.insert(0, FACTS_SQL)
+STARTS.append(LINES_SQL)
 CODE_FACTS = Base("facts", lambda s, d: facts(code_lines(repos.files(s, d))), FACTS_SQL)
 define("code_facts", [CODE_FACTS], f"SELECT file_id, path, line, fact, kind, name, 'fallback-lexer' AS source_kind, 0.7::DOUBLE AS confidence FROM facts", "Imports, symbols, exports, routes, components, annotations, entry points, requests, states and navigation in code, by patterns; a fact of a line counts once.")
 define("code_fact_counts", [CODE_FACTS], f"SELECT repo, fact, kind, count(*)::BIGINT AS facts, count(DISTINCT file_id)::BIGINT AS files FROM facts GROUP BY repo, fact, kind", "Facts of each repository by kind.")

@@ -22,14 +22,30 @@ class Base(NamedTuple):
 
 #: SQL that many bases begin with.
 STARTS = [FILES_SQL]
-#: What is written alike in both, and how either says it. @set(x): the different values, sorted and joined.
-SPARK = [(r"regexp_matches\(", "regexp_like("), (r"~\(", "regexp_like("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"array_join(array_sort(collect_set(\1)), ',')"), (r"@starts\(", "startswith("), (r"@g\b", ""), (r"@div\b", "div"), (r"@split\(", "split("), (r"@at\(", "try_element_at("), (r"@size\(", "size("), (r"@sha\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"sha2(\1, 256)")]
-DUCK = [(r"\bcount_if\(", "count(*) FILTER (WHERE "), (r"~\(", "regexp_matches("), (r"@set\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')"), (r"@starts\(", "starts_with("), (r"@g\b", ", 'g'"), (r"@div\b", "//"), (r"@split\(", "string_split("), (r"@at\(", "list_extract("), (r"@size\(", "len("), (r"@sha\(", "sha256(")]
+#: What is written alike in both, and how either says it.
+SPARK = [(r"regexp_matches\(", "regexp_like("), (r"~\(", "regexp_like("), (r"@starts\(", "startswith("), (r"@div\b", "div")]
+DUCK = [(r"\bcount_if\(", "count(*) FILTER (WHERE "), (r"~\(", "regexp_matches("), (r"@starts\(", "starts_with("), (r"@div\b", "//")]
+#: @set(x): the different values, sorted and joined by commas. @sha(x): the SHA-256 of a text, in hexadecimal.
+SPARK_CALLS = {"@set(": "array_join(array_sort(collect_set({0})), ',')", "@sha(": "sha2({0}, 256)"}
+DUCK_CALLS = {"@set(": "coalesce(string_agg(DISTINCT {0}, ',' ORDER BY {0}), '')", "@sha(": "sha256({0})"}
+
+
+def call(text: str, name: str, said: str) -> str:
+    """text with each call of name in the other form; its argument ends at the parenthesis that closes it."""
+    while (at := text.rfind(name)) >= 0:
+        end, depth = at + len(name), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = text[:at] + said.format(text[at + len(name) : end - 1]) + text[end:]
+    return text
 
 
 def spoken(text: str, spark: bool) -> str:
     if spark:
         text = text.replace("\\", "\\\\")
+    for name, said in (SPARK_CALLS if spark else DUCK_CALLS).items():
+        text = call(text, name, said)
     for sign, said in SPARK if spark else DUCK:
         text = re.sub(sign, said, text)
     return text
