@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -287,6 +288,33 @@ def test_caps_of_several_lengths(spark):
         assert sum(found[i][1] for i in own) >= 0.9 * sum(want[i][1] for i in own) > 0
 
 
+def test_caps_in_rounds(spark, monkeypatch):
+    """One rotation at a time, codes in a projection, filters of several tiles."""
+    monkeypatch.setattr(spherical, "ROUND", 1)
+    monkeypatch.setattr(spherical, "FOLD", 24)
+    monkeypatch.setattr(spherical, "TILE", 64)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((600, 64))
+    v = np.concatenate([base, base[:200] + 0.4 * rng.standard_normal((200, 64)), base[0] + 0.12 * rng.standard_normal((200, 64))]).astype(np.float32)
+    found = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in spherical.classes(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VECTORS)).collect()}
+    want = near_classes(range(len(v)), v)
+    assert set(found) == set(want) and all(found[i][1] <= want[i][1] for i in want)
+    single = [i for i, (_, k) in want.items() if k == 1]
+    assert len(single) > 200 and sum(found[i] == want[i] for i in single) >= 0.9 * len(single)
+    assert all(found[i] == want[i] for i in want if want[i][1] > 100)
+
+
+def test_caps_plan_in_bounded_memory():
+    """The driver's plan: a million vectors, 15 million (6 GB), 80 million (30 GB), and very long ones."""
+    for n, dim in ((1_000_000, 64), (15_000_000, 64), (80_000_000, 64), (1_000_000, 4096)):
+        tracemalloc.start()
+        p = spherical.plan(n, dim, spherical.THRESHOLD, spherical.RECALL, 11)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6, (n, dim, peak)
+        assert n * p["filters"] / math.prod(p["sides"]) < 4 * spherical.FILL and p["filters"] < 8, (n, dim, p["filters"])
+
+
 def shingled(text):
     w = re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter((x,) for x in w)
