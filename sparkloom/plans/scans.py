@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import census as C
 from ..functions import text as X
-from ..functions.rules import any_of, quoted
+from ..functions.rules import any_of, may_match, quoted, telling
+from ..operators import graph
 from ..sources import repos
 from .shared import STARTS, Base, define
 
@@ -17,17 +20,19 @@ EXAMPLES = 80
 def hits(df: DataFrame, rules: list[tuple]) -> DataFrame:
     """repo, file_id, path, rule, line, content of what rules (name, ..., pattern) match in texts.
 
-    A pattern is first tried on the whole text and then on its lines; only lines that match become rows.
+    A pattern is first tried on the whole text and then on its lines; only lines that match become rows. What can't match
+    for want of a word is left out before that.
     """
     numbered = F.transform(F.split("text", "\r?\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("content")))
     none = F.array().cast("array<struct<rule:string,line:bigint,content:string>>")
 
     def one(name: str, pattern: str):
         said = F.transform(F.filter(numbered, lambda s: s["content"].rlike(pattern)), lambda s: F.struct(F.lit(name).alias("rule"), s["line"].alias("line"), s["content"].alias("content")))
-        return F.when(F.col("text").rlike(pattern), said).otherwise(none)
+        return F.when(may_match(F.col("text"), pattern) & F.col("text").rlike(pattern), said).otherwise(none)
 
     found = F.flatten(F.array(*[one(r[0], r[-1]) for r in rules]))
-    return df.select("repo", "file_id", "path", F.explode(found).alias("h")).select("repo", "file_id", "path", "h.rule", "h.line", "h.content")
+    # Outer, as for an inner one Spark tests the size of what is exploded before and works everything out twice.
+    return df.select("repo", "file_id", "path", F.explode_outer(found).alias("h")).where("h IS NOT NULL").select("repo", "file_id", "path", "h.rule", "h.line", "h.content")
 
 
 LINES_SQL = r"lines AS (SELECT repo, file_id, path, generate_subscripts(parts, 1)::BIGINT AS line, unnest(parts) AS content FROM (SELECT *, string_split_regex(text, '\r?\n') AS parts FROM repo_files))"
@@ -78,7 +83,7 @@ CODE_EXTENSIONS = ["go", "java", "js", "jsx", "mjs", "py", "rs", "svelte", "ts",
 def code_lines(df: DataFrame) -> DataFrame:
     """repo, file_id, path, ext, line, content (trimmed) of the lines of code files."""
     own = df.withColumn("ext", F.expr(C.spark_ext())).where(F.col("ext").isin(CODE_EXTENSIONS))
-    return own.select("repo", "file_id", "path", "ext", F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw")).select("repo", "file_id", "path", "ext", (F.col("pos") + 1).cast("long").alias("line"), F.trim("raw").alias("content")).where("content <> ''")
+    return own.select("repo", "file_id", "path", "ext", F.posexplode_outer(F.split("text", "\r?\n")).alias("pos", "raw")).select("repo", "file_id", "path", "ext", (F.col("pos") + 1).cast("long").alias("line"), F.trim("raw").alias("content")).where("content <> ''")
 
 
 CODE = Base("code", lambda s, d: code_lines(repos.files(s, d)), rf"""{repos.FILES_SQL}, {LINES_SQL}, code AS (SELECT repo, file_id, path, {C.EXT_SQL} AS ext, line, trim(content) AS content FROM lines WHERE {C.EXT_SQL} IN ({', '.join(map(quoted, CODE_EXTENSIONS))}) AND trim(content) <> '')""")
@@ -101,17 +106,26 @@ FACTS = [
     ("options-api", "block", JS, "^(computed|data|methods|props|watch)\\s*[:(]"), ("emit", "event", JS, f"\\$?\\bemit\\({Q}([^\"'']+){Q}"), ("directive", "vue", JS, "\\b(v-else-if|v-for|v-if|v-model|v-show)="), ("state", "store", JS, f"\\b(?:useState|ref|reactive|defineStore)\\({Q}?({NAME})"),
 ]
 
+WORDS = telling([p for _, _, _, p in FACTS])
+
 
 def facts(df: DataFrame) -> DataFrame:
-    """repo, file_id, path, line, content, fact, kind, name: all patterns in one pass over the lines (see code_lines)."""
-    found = F.array(*[F.when(F.expr(w) & F.col("content").rlike(p), F.struct(F.lit(t).alias("fact"), F.lit(k).alias("kind"), F.regexp_extract("content", p, 1).alias("name"))) for t, k, w, p in FACTS])
-    return df.withColumn("f", F.explode(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))).select("repo", "file_id", "path", "line", "content", "f.fact", "f.kind", "f.name")
+    """repo, file_id, path, line, content, fact, kind, name: all patterns in one pass over the lines (see code_lines).
+
+    Lines that have no pattern's words are dropped first, and a pattern is tried only where its words are.
+    """
+    may = {p: F.expr(w) & may_match(F.col("content"), p) for _, _, w, p in FACTS}
+    found = F.array(*[F.when(may[p] & F.col("content").rlike(p), F.struct(F.lit(t).alias("fact"), F.lit(k).alias("kind"), F.regexp_extract("content", p, 1).alias("name"))) for t, k, w, p in FACTS])
+    own = df.where(reduce(lambda a, b: a | b, [F.contains("content", F.lit(w)) for w in WORDS]))
+    return own.withColumn("f", F.explode_outer(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))).where("f IS NOT NULL").select("repo", "file_id", "path", "line", "content", "f.fact", "f.kind", "f.name")
 
 
 FACTS_SQL = CODE.sql + ", facts AS (" + " UNION ".join(f"SELECT repo, file_id, path, line, content, '{t}' AS fact, '{k}' AS kind, regexp_extract(content, {quoted(p)}, 1) AS name FROM code WHERE {w} AND regexp_matches(content, {quoted(p)})" for t, k, w, p in FACTS) + ")"
 STARTS.insert(0, FACTS_SQL)
 STARTS.append(LINES_SQL)
 CODE_FACTS = Base("facts", lambda s, d: facts(code_lines(repos.files(s, d))), FACTS_SQL)
+#: For queries that read the facts more than once: written once, without the lines.
+WRITTEN_FACTS = Base("facts", lambda s, d: graph.checkpointed(CODE_FACTS.frame(s, d).drop("content")), FACTS_SQL)
 define("code_facts", [CODE_FACTS], f"SELECT file_id, path, line, fact, kind, name, 'fallback-lexer' AS source_kind, 0.7::DOUBLE AS confidence FROM facts", "Imports, symbols, exports, routes, components, annotations, entry points, requests, states and navigation in code, by patterns; a fact of a line counts once.")
 define("code_fact_counts", [CODE_FACTS], f"SELECT repo, fact, kind, count(*)::BIGINT AS facts, count(DISTINCT file_id)::BIGINT AS files FROM facts GROUP BY repo, fact, kind", "Facts of each repository by kind.")
 define("route_facts", [CODE_FACTS], f"""SELECT DISTINCT repo, path, line, kind, name AS route, CASE WHEN name IN ('', '/', '*') THEN NULL WHEN @starts(name, '/') THEN name ELSE '/' || name END AS route_path, '/' || coalesce(nullif(regexp_extract(name, '^/?([^/]+(?:/[^/]+)?)', 1), ''), '') AS family, ~('/' || name, '^/+(?:40[134]|50[0-9])(/|$)') OR ~(name, ':pathMatch') AS excluded FROM facts WHERE fact = 'route'""", "Routes with their normal form, the family of their first two segments, and whether they are left out.")
@@ -121,8 +135,8 @@ define("import_packages", [CODE_FACTS], f"""seen AS (SELECT repo, name, CASE WHE
 SEEN = {"entry": ["bootstrap", "route"], "action": ["ui-element", "ui-event"], "handler": ["symbol", "options-api"], "state": ["state", "mutation"], "request": ["request"], "response": ["response"], "feedback": ["feedback"], "outcome": ["navigation", "outcome", "emit"], "branch-failure": ["guard"]}
 define("ui_facts", [CODE_FACTS], "SELECT repo, path, line, fact, kind, name FROM facts WHERE fact IN ('bootstrap', 'directive', 'emit', 'feedback', 'guard', 'mutation', 'navigation', 'options-api', 'outcome', 'response', 'ui-element', 'ui-event', 'wiring')", "What user interfaces show: starts, elements, events, feedback, guards, mutations, responses and outcomes.")
 define("journey_evidence", [CODE_FACTS], f"""dims AS (SELECT * FROM (VALUES {', '.join(f'({quoted(d)}, {quoted(f)})' for d, fs in SEEN.items() for f in fs)}) d(dimension, fact)) SELECT f.repo, d.dimension, count(*)::BIGINT AS facts, count(DISTINCT f.path)::BIGINT AS files FROM facts f JOIN dims d ON f.fact = d.fact GROUP BY f.repo, d.dimension""", "Which closure dimensions the code of each repository has evidence for.")
-define("handler_bindings", [CODE_FACTS], "SELECT DISTINCT e.repo, e.path, e.line AS event_line, e.name AS event, s.name AS handler FROM facts e JOIN facts s ON e.file_id = s.file_id AND s.fact = 'symbol' AND s.kind = 'function' WHERE e.fact = 'ui-event'", "Events of an interface with the functions of the same file that may handle them.")
-define("request_dependants", [CODE_FACTS], "SELECT DISTINCT q.repo, q.path, q.name AS url, x.fact, x.name FROM facts q JOIN facts x ON q.file_id = x.file_id AND x.fact IN ('feedback', 'mutation', 'outcome', 'response') WHERE q.fact = 'request'", "What in the same file depends on a request: responses, mutations, feedback and outcomes.")
+define("handler_bindings", [WRITTEN_FACTS], "SELECT DISTINCT e.repo, e.path, e.line AS event_line, e.name AS event, s.name AS handler FROM facts e JOIN facts s ON e.file_id = s.file_id AND s.fact = 'symbol' AND s.kind = 'function' WHERE e.fact = 'ui-event'", "Events of an interface with the functions of the same file that may handle them.")
+define("request_dependants", [WRITTEN_FACTS], "SELECT DISTINCT q.repo, q.path, q.name AS url, x.fact, x.name FROM facts q JOIN facts x ON q.file_id = x.file_id AND x.fact IN ('feedback', 'mutation', 'outcome', 'response') WHERE q.fact = 'request'", "What in the same file depends on a request: responses, mutations, feedback and outcomes.")
 KEYWORDS = ["and", "else", "false", "if", "in", "null", "of", "this", "true", "undefined"]
 
 
@@ -159,8 +173,9 @@ def imports(spark, sf_dir: str) -> DataFrame:
     return scripts(facts(code_lines(repos.files(spark, sf_dir))))
 
 
-IMPORTS = Base("imports", imports, f"{FACTS_SQL}, imports AS (SELECT DISTINCT repo, path, name FROM facts WHERE fact = 'import' AND kind IN ('js-import', 'js-dynamic-import'))")
-TRIED = Base("tried", lambda s, d: candidates(imports(s, d)), f"bases AS (SELECT *, {TARGET_SQL} AS base FROM imports), tried AS (SELECT repo, path, name, rank - 1 AS rank, base || ends[rank] AS target FROM (SELECT *, {ENDS!r} AS ends, unnest(range(1, {len(ENDS) + 1})) AS rank FROM bases WHERE base IS NOT NULL))")
+IMPORTS = Base("imports", lambda s, d: graph.checkpointed(imports(s, d)), f"{FACTS_SQL}, imports AS (SELECT DISTINCT repo, path, name FROM facts WHERE fact = 'import' AND kind IN ('js-import', 'js-dynamic-import'))")
+#: Over the view of imports, which comes before it.
+TRIED = Base("tried", lambda s, d: candidates(s.table("imports")), f"bases AS (SELECT *, {TARGET_SQL} AS base FROM imports), tried AS (SELECT repo, path, name, rank - 1 AS rank, base || ends[rank] AS target FROM (SELECT *, {ENDS!r} AS ends, unnest(range(1, {len(ENDS) + 1})) AS rank FROM bases WHERE base IS NOT NULL))")
 PATHS = Base("paths", lambda s, d: repos.files(s, d).select("repo", "path").distinct(), "paths AS (SELECT DISTINCT repo, path FROM repo_files)")
 RESOLVED = "resolved AS (SELECT t.repo, t.path, t.name, min_by(t.target, t.rank) AS target, min(t.rank)::BIGINT AS rank FROM tried t JOIN paths p ON t.repo = p.repo AND t.target = p.path GROUP BY t.repo, t.path, t.name)"
 define("resolved_imports", [IMPORTS, TRIED, PATHS], f"""{RESOLVED} SELECT i.repo, i.path, i.name, r.target, r.rank, CASE WHEN r.target IS NOT NULL THEN 'file' WHEN ~(i.name, '^([.]|/|@/|~/)') THEN 'unresolved' ELSE 'external' END AS resolution FROM imports i LEFT JOIN resolved r ON i.repo = r.repo AND i.path = r.path AND i.name = r.name""", "Each import resolved to the first candidate that exists: relative, from the root, or by the aliases of the nearest src.")

@@ -6,7 +6,7 @@ from .catalogs import CLAIMS, LABELS, QUESTIONS, SEMANTICS, ZONED
 from .census import FILES, INVENTORY
 from .profile import DEPS, MANIFESTS
 from .program import BOTH, DEPEND, EDGES_BASE, NODES_BASE, OWNED
-from .scans import CODE_FACTS, HITS
+from .scans import CODE_FACTS, HITS, WRITTEN_FACTS
 from .shared import define
 
 KIND = r"CASE WHEN ~(path, '(?i)[.](?:test|spec)[.]|(^|/)(?:__tests__|tests?)/') THEN 'test' WHEN ~(path, '(?i)(^|/)(?:pages|views|screens)/') THEN 'page' WHEN ~(path, '(?i)(^|/)components?/') THEN 'component' WHEN ~(path, '(?i)(^|/)(?:api|services?)/') THEN 'api' WHEN ~(path, '(?i)(^|/)(?:store|state)/') THEN 'state' WHEN ~(path, '(?i)(^|/)(?:router|routes)/') THEN 'route' WHEN ~(path, '(?i)[.]vue$') THEN 'view' WHEN category = 'config' THEN 'config' ELSE 'source' END"
@@ -44,4 +44,4 @@ define("package_gate", [*BOTH, FILES, LABELS], f"""{QUESTIONS}, dangling AS (SEL
 define("lineage", [INVENTORY, CODE_FACTS], "SELECT i.repo, 'inventory' AS artefact, count(*)::BIGINT AS rows, min(i.hash) AS first_hash FROM inv i GROUP BY i.repo UNION ALL SELECT f.repo, 'facts-' || f.fact, count(*)::BIGINT, min(f.name) FROM facts f GROUP BY f.repo, f.fact", "Where each artefact of a repository comes from: its rows and first key.")
 define("wiki_tables", [INVENTORY, CODE_FACTS], """l AS (SELECT repo, 'language' AS section, language AS name, count(*) AS n FROM inv GROUP BY repo, language), p AS (SELECT repo, 'package' AS section, name, count(*) AS n FROM facts WHERE fact = 'import' AND NOT ~(name, '^([.]|/|@/|~/)') GROUP BY repo, name), ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, section ORDER BY n DESC, name) AS place FROM (SELECT * FROM l UNION ALL SELECT * FROM p) u)
   SELECT repo, section, name, n::BIGINT AS n, place::BIGINT AS place FROM ranked WHERE place <= 30""", "The tables of a repository's page: its 30 most frequent languages and packages, a report.")
-define("unknowns", [INVENTORY, CODE_FACTS], """t AS (SELECT DISTINCT repo FROM inv) SELECT repo, 'no-routes' AS unknown FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'route') x ON t.repo = x.r UNION ALL SELECT repo, 'no-imports' FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'import') x ON t.repo = x.r UNION ALL SELECT repo, 'no-tests' FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'wiring') x ON t.repo = x.r""", "What isn't known of a repository, as nothing was found.")
+define("unknowns", [INVENTORY, WRITTEN_FACTS], """t AS (SELECT DISTINCT repo FROM inv) SELECT repo, 'no-routes' AS unknown FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'route') x ON t.repo = x.r UNION ALL SELECT repo, 'no-imports' FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'import') x ON t.repo = x.r UNION ALL SELECT repo, 'no-tests' FROM t ANTI JOIN (SELECT repo AS r FROM facts WHERE fact = 'wiring') x ON t.repo = x.r""", "What isn't known of a repository, as nothing was found.")
