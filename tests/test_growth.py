@@ -1,10 +1,16 @@
 """What keeps queries within their limits on large tables: that work isn't done twice, and that intermediate rows grow with the input."""
 
+import random
+
+import pytest
+from comparison import compare
 from pyspark.sql import functions as F
 
+from sparkloom import catalog
 from sparkloom.functions import text as X
 from sparkloom.functions.rules import may_match, required, telling
-from sparkloom.plans import scans
+from sparkloom.operators import graph
+from sparkloom.plans import program, scans, views
 
 
 def plan(df) -> str:
@@ -39,7 +45,49 @@ def test_patterns_are_tried_once(spark):
 
 def test_facts_are_read_once(spark, sf_dir):
     """Queries over several uses of the facts don't scan the texts for each."""
-    from sparkloom import catalog
-
     for name in ("handler_bindings", "request_dependants", "unknowns", "resolved_imports", "import_resolution_rate"):
         assert "content#" not in plan(catalog.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["change_map", "community_members", "atlas_degrees", "change_sets", "domain_relations"])
+def test_counts_need_no_pairs(spark, sf_dir, monkeypatch, name):
+    """What is counted over tests' edges follows from the sizes of stems; before, all pairs of a stem's files were built and written."""
+
+    def never(*_):
+        raise AssertionError("pairs are built")
+
+    monkeypatch.setattr(program, "paired", never)
+    monkeypatch.setattr(views, "paired", never)
+    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf_dir) == ""
+
+
+def test_pairs_are_not_written(spark, sf_dir):
+    """The pairs of a stem are a stream: above their join the plan has no exchange."""
+    own = spark.createDataFrame([("r", "a/x.test.ts", "t1", "x", "c", True), ("r", "a/x.ts", "m1", "x", "c", False), ("r", "b/x.ts", "m2", "x", "d", False), ("r", "b/y.ts", "m3", "y", "d", False)], "repo string, path string, node_id string, stem string, community string, is_test boolean")
+    got = program.paired(own)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == [("t1", "m1"), ("t1", "m2")]
+    above = got._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    skip = spark.createDataFrame([("t1", "m2")], "src string, dst string")
+    assert [(r["src"], r["dst"]) for r in program.paired(own, skip).collect()] == [("t1", "m1")]
+
+
+def test_ancestors(spark):
+    """Against a walk from each subject, with cycles, and with hubs of any size."""
+    rnd = random.Random(3)
+    pairs = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(70)} | {(i, 50) for i in range(12)} | {(50, 60), (60, 51), (51, 61)}
+    want = {}
+    for s in range(62):
+        seen, todo = {s}, [s]
+        while todo:
+            x = todo.pop()
+            for a, b in pairs:
+                if b == x and a not in seen:
+                    seen.add(a)
+                    todo.append(a)
+        want[f"n{s}"] = len(seen - {50} | {s}) - 1
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    subjects = spark.createDataFrame([(k,) for k in want if k != "n50"], "subject string")
+    for hub in (2, 64):
+        got = {r["subject"]: r["n"] for r in graph.ancestors(edges, subjects, F.col("node") == "n50", hub).collect()}
+        assert got == {k: v for k, v in want.items() if k != "n50"}
