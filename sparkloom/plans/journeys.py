@@ -6,11 +6,15 @@ evidence of a binding) follows from conv_id and turn by fixed rules, so that eve
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.rules import quoted
 from ..sources.tables import table
 from .shared import Base, define
 
-TURNS = Base("turns", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", "role", "text"), "turns AS (SELECT conv_id, turn, role, text FROM conversations)")
+#: Of a text only its beginning is asked for (see CLOSED), so no more of it is shuffled.
+BEGINNING = len("unresolved product outcome")
+TURNS = Base("turns", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, BEGINNING).alias("text")), "turns AS (SELECT conv_id, turn, role, text FROM conversations)")
 TYPES = ["page", "ui-element", "event", "handler", "state-transition", "effect", "request", "endpoint", "response", "feedback", "outcome"]
 DIMENSIONS = ["entry", "action", "handler", "state", "request", "response", "feedback", "outcome", "branch-failure"]
 OF = {"entry": ["page"], "action": ["ui-element", "event"], "handler": ["handler"], "state": ["effect", "state-transition"], "request": ["request", "endpoint"], "response": ["response"], "feedback": ["feedback"], "outcome": ["outcome"]}

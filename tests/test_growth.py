@@ -99,3 +99,8 @@ def test_scores_are_not_sorted(spark, sf_dir):
     assert "MapInArrow" in plan(df) and "Join" not in plan(df)
     for name in ("retrieval_rank", "hit_at_k_mrr"):
         assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf_dir) == ""
+
+
+def test_journeys_shuffle_no_texts(spark, sf_dir):
+    """Only the beginning of a turn's text is asked for; before, the whole text went through each exchange."""
+    assert "substring(text" in plan(catalog.QUERIES["journey_reasons"](spark, sf_dir))
